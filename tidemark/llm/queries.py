@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, line_dedup, minhash, mixing, token_count, toxicity, url_filter, warc
+from . import decontaminate, langid, line_dedup, minhash, mixing, nn_descent, token_count, toxicity, url_filter, warc
 from .common import crc_mod, table
 
 
@@ -40,6 +40,10 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.summary(spark, warc.archive(table(spark, sf_dir, "pages")))
 
 
+def op7_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nn_descent.search(table(spark, sf_dir, "embeddings"), every=50, top=5)
+
+
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
@@ -63,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op4_mixing,
         op5_language_id,
         op6_warc,
+        op7_nn_descent,
         op8_minhash,
         op9_line_dedup,
         op10_toxicity,
