@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -45,3 +46,9 @@ def ship(spark: SparkSession) -> None:
             z.write(p, p.relative_to(root.parent))
     sc.addPyFile(path)
     _shipped.add(sc.applicationId)
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder that driver and executors share: under ``spark.checkpoint.dir``, or a temporary one where that is unset."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemark-")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
