@@ -58,9 +58,11 @@ def write(pages: DataFrame, path: str, *, least: int = 100, page_id: str = "page
     kind = F.when(revisit, F.lit("revisit")).otherwise(F.lit("response"))
     header = _header(kind, F.col("page"), F.col("first"), F.col("url"), F.col("digest"), F.col("length"))
     slim.select(F.col("page").alias("page_id"), header.alias("header"), "digest").write.option("compression", "zstd").parquet(f"{path}/records")
-    owners = firsts.select(F.col("first").alias("page"), F.col("digest").alias("own"))
-    kept = base.select("page", "payload", "digest").join(owners, base["page"].eqNullSafe(owners["page"]) & (base["digest"] == owners["own"])).select("digest", "payload")
-    kept.write.option("compression", "zstd").parquet(f"{path}/payloads")
+    key = F.coalesce(F.col("page"), F.lit(-(1 << 63)))
+    owners = firsts.select(F.coalesce("first", F.lit(-(1 << 63))).alias("key"), "digest")
+    # the join leaves rows dealt and sorted by (key, digest), so repeated rows go without another shuffle
+    kept = base.select(key.alias("key"), "digest", "payload").join(owners, ["key", "digest"]).dropDuplicates(["key", "digest"])
+    kept.select("digest", "payload").write.option("compression", "zstd").parquet(f"{path}/payloads")
 
 
 def read_payloads(spark, path: str) -> DataFrame:
