@@ -145,7 +145,7 @@ def build_graph(nodes: DataFrame, count: int, *, k: int, best: int, fan: int, ro
         both = flat.select(F.col("other").alias("at"), "node", "fresh").union(flat.select(F.col("node").alias("at"), F.col("other").alias("node"), "fresh"))
         both = both.groupBy("at", "node").agg(F.max("fresh").alias("fresh"))
         sent = both.join(nodes.join(worst, "node", "left").select("node", "q", F.coalesce("worst", F.lit(-1.5).cast("float")).alias("worst")), "node")
-        found = _grouped_by(sent.select("at", "node", "q", "fresh", "worst"), "at").mapInPandas(_meetings(best, fan, turn), "node long, other long, sim float")
+        found = _grouped_by(sent.select("at", "node", "q", "fresh", "worst"), "at").mapInPandas(_meetings(best if turn else min(best, 4), fan, turn), "node long, other long, sim float")
         found = found.groupBy("node", "other").agg(F.max("sim").alias("sim")).withColumn("fresh", F.lit(1).cast("tinyint"))
         old = graph.select("node", F.explode(F.arrays_zip("others", "sims")).alias("e")).select("node", F.col("e.others").alias("other"), F.col("e.sims").alias("sim"), F.lit(0).cast("tinyint").alias("fresh"))
         after = settle(_grouped_by(old.union(found), "node").mapInPandas(_lists(k), GRAPH), "graph")
@@ -163,12 +163,12 @@ def search(
     vector_col: str = "embedding",
     every: int = 50,
     top: int = 5,
-    k: int = 24,
-    best: int = 8,
-    fan: int = 64,
+    k: int = 40,
+    best: int = 10,
+    fan: int = 100,
     rounds: int = 8,
     stop: float = 0.02,
-    beam: int = 48,
+    beam: int = 128,
     hops: int = 3,
     seed: int = 11,
 ) -> DataFrame:
