@@ -160,7 +160,8 @@ EMPTY_TOMBSTONES = f"metric string, labels {LABELS}, start long, end long"
 
 def dump(samples: DataFrame, path: str, bucket: int) -> None:
     """A snapshot: Parquet by time bucket, sorted by series and time within files."""
-    out = samples.withColumn("ts_bucket", F.col("ts") - F.pmod(F.col("ts"), F.lit(bucket)))
+    at = F.try_subtract(F.col("ts"), F.pmod(F.col("ts"), F.lit(bucket)))
+    out = samples.withColumn("ts_bucket", F.coalesce(at, F.lit(-(1 << 63))))
     out.repartition("ts_bucket", "metric").sortWithinPartitions("metric", "labels", "ts", "seq").write.partitionBy("ts_bucket").parquet(path)
 
 

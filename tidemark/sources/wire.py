@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from ..model import HIST, LABELS
 from ..session import ship
+from .text import whole
 
 
 class BadPayload(ValueError):
@@ -224,7 +225,7 @@ def read_remote_write(payloads: DataFrame, *, col: str = "content", units: int =
             rows = [r for b in df["b"] for r in write_request(unsnappy(bytes(b)) if compressed else bytes(b), units)["samples"]]
             yield pd.DataFrame(rows, columns=["metric", "labels", "ts", "value", "is_stale", "hist"])
 
-    return payloads.select(F.col(col).alias("b")).mapInPandas(run, f"metric string, labels {LABELS}, ts long, value double, is_stale boolean, hist {HIST}")
+    return whole(payloads.select(F.col(col).alias("b")).mapInPandas(run, f"metric string, labels {LABELS}, ts long, value double, is_stale boolean, hist {HIST}"))
 
 
 def remote_read(samples: DataFrame, matchers, start_ms: int, end_ms: int, units: int = 1000) -> DataFrame:
@@ -367,4 +368,4 @@ def read_otlp(payloads: DataFrame, *, col: str = "content", units: int = 1000) -
         for df in frames:
             yield pd.DataFrame([r for b in df["b"] for r in otlp_request(bytes(b), units)], columns=["metric", "labels", "ts", "value"])
 
-    return payloads.select(F.col(col).alias("b")).mapInPandas(run, f"metric string, labels {LABELS}, ts long, value double")
+    return whole(payloads.select(F.col(col).alias("b")).mapInPandas(run, f"metric string, labels {LABELS}, ts long, value double"))
