@@ -165,8 +165,21 @@ def test_line_dedup(spark):
     assert L.dedup_lines(df.where("false")).count() == 0
 
 
-def test_line_links_are_exact(spark):
-    """Every link between sampled lines of the corpus is found, and nothing else."""
+def test_band_keys_are_minhashes(spark):
+    """Keys are those of plain minimum xor distances over the whole set."""
+    rng = random.Random(9)
+    rows = [(i, [rng.randrange(-(1 << 63), 1 << 63) for _ in range(rng.choice([1, 2, 5, 40]))]) for i in range(30)]
+    df = spark.createDataFrame(rows, "id int, set array<long>")
+    plain = [F.xxhash64(F.lit(k), *[F.get("low", F.lit(2 * k + r)) for r in range(2)]) for k in range(3)]
+    mask = lambda i: (L._mask(i) & (1 << 62) - 1) | (i % 4 - 2) << 62
+    low = {i: [min(h ^ mask(k) for h in s if (h >> 62) == k % 4 - 2 or not any((x >> 62) == k % 4 - 2 for x in s)) for k in range(6)] for i, s in rows}
+    want = spark.createDataFrame(list(low.items()), "id int, low array<long>").select("id", *[c.alias(f"k{k}") for k, c in enumerate(plain)])
+    assert sorted(L.with_band_keys(df, 3, 2).drop("set").collect()) == sorted(want.collect())
+
+
+@pytest.mark.parametrize("whole_bucket", [8, 1])
+def test_line_links(spark, whole_bucket):
+    """Nothing but true links, and nearly all of them: banding misses few pairs near the threshold."""
     rng = random.Random(2)
     lines = []
     for _ in range(40):
@@ -177,7 +190,7 @@ def test_line_links_are_exact(spark):
                 copy[rng.randrange(60)] = f"e{rng.randint(0, 999)}"
             lines.append(" ".join(copy))
     df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
-    gone = {r.doc for r in L.dropped_lines(df).collect()}
+    gone = {r.doc for r in L.dropped_lines(df, whole_bucket=whole_bucket, pivots=1, growth=2).collect()}
     sets = [{x[i : i + 20] for i in range(len(x)) if (i == 0 or x[i - 1] == " ") and len(x) - i >= 20} for x in lines]
     parent = list(range(len(lines)))
 
@@ -191,7 +204,8 @@ def test_line_links_are_exact(spark):
             if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
                 a, b = find(i), find(j)
                 parent[max(a, b)] = min(a, b)
-    assert gone == {i for i in range(len(lines)) if find(i) != i}
+    truth = {i for i in range(len(lines)) if find(i) != i}
+    assert gone <= truth and len(gone) >= 0.97 * len(truth)
 
 
 def brute_fill(caps, weights, budget):
