@@ -100,18 +100,25 @@ def mad(pts: Column) -> Column:
     return quantile(F.transform(v, lambda x: F.abs(x - m)), lit(0.5))
 
 
-def regression(pts: Column, units: int) -> tuple[Column, Column]:
-    """Slope a second and intercept at the first point; null without two times, NaN with a value not finite."""
+def regression(pts: Column, units: int) -> Column:
+    """(slope a second, base at the first point) in one fold; null without two times, NaN with a value not finite."""
     t0 = F.get(pts, F.lit(0))["ts"]
-    xy = F.transform(pts, lambda p: F.struct(((p["ts"] - t0).cast("double") / units).alias("x"), p["value"].alias("y")))
-    add = lambda f: F.aggregate(xy, lit(0), lambda a, p: a + f(p))
-    n = F.size(pts).cast("double")
-    sx, sy, sxy, sxx = add(lambda p: p["x"]), add(lambda p: p["y"]), add(lambda p: p["x"] * p["y"]), add(lambda p: p["x"] * p["x"])
-    den = n * sxx - sx * sx
-    wild = F.exists(pts, lambda p: F.isnan(p["value"]) | (F.abs(p["value"]) == INF))
-    slope = (n * sxy - sx * sy) / F.when(den != 0, den)
-    fit = lambda x: F.when(F.size(pts) < 2, F.lit(None)).when(wild, lit(NAN)).otherwise(x)
-    return fit(slope), fit((sy - slope * sx) / n)
+    names = ("n", "sx", "sy", "sxy", "sxx")
+    zero = F.struct(*[lit(0).alias(k) for k in names], t0.alias("t0"))
+
+    def step(s: Column, p: Column) -> Column:
+        x, y = (p["ts"] - s["t0"]).cast("double") / units, p["value"]
+        more = (lit(1), x, y, x * y, x * x)
+        return F.struct(*[(s[k] + m).alias(k) for k, m in zip(names, more, strict=True)], s["t0"].alias("t0"))
+
+    def finish(s: Column) -> Column:
+        den = s["n"] * s["sxx"] - s["sx"] * s["sx"]
+        slope = (s["n"] * s["sxy"] - s["sx"] * s["sy"]) / F.when(den != 0, den)
+        wild = F.isnan(s["sy"]) | (F.abs(s["sy"]) == INF)
+        fit = lambda x: F.when(s["n"] < 2, F.lit(None)).when(wild, lit(NAN)).otherwise(x)
+        return F.struct(fit(slope).alias("slope"), fit((s["sy"] - slope * s["sx"]) / s["n"]).alias("base"))
+
+    return F.aggregate(pts, zero, step, finish)
 
 
 def smoothed(pts: Column, sf: float, tf: float) -> Column:

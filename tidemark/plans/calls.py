@@ -78,7 +78,7 @@ ORDERED: dict[str, Callable[[Column, Column, Column, int], Column]] = {
     "stddev_over_time": lambda p, lo, hi, u: F.sqrt(R.variance(R.values(p))),
     "stdvar_over_time": lambda p, lo, hi, u: R.variance(R.values(p)),
     "mad_over_time": lambda p, lo, hi, u: R.mad(p),
-    "deriv": lambda p, lo, hi, u: R.regression(p, u)[0],
+    "deriv": lambda p, lo, hi, u: R.regression(p, u)["slope"],
 }
 
 
@@ -239,9 +239,9 @@ def _quantile_over_time(c: _Call):
 def _predict_linear(c: _Call):
     c.count(2)
     df, ahead = c.number(1, c.points(c.ranged(0)))
-    slope, base = R.regression(F.col("pts"), c.run.units)
+    df = df.withColumn("fit", R.regression(F.col("pts"), c.run.units))
     x = (F.col("step_ts") - F.get("pts", F.lit(0))["ts"]).cast("double") / c.run.units + ahead
-    return c.out(df.withColumn("value", slope * x + base).where(F.col("value").isNotNull()))
+    return c.out(df.withColumn("value", F.col("fit.slope") * x + F.col("fit.base")).where(F.col("value").isNotNull()))
 
 
 def _smoothing(c: _Call):
