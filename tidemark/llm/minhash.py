@@ -313,7 +313,7 @@ def near_duplicates(
     met = keyed.join(buckets.select("key", "m"), "key")
     sketches = classes.select("rep", "sketch").dropDuplicates(["rep"])
     blocks = _salted(met, "key", "m", block, 0).join(sketches, "rep").select("key", "salt", "rep", "sketch")
-    blocks = blocks.repartition("key", "salt").sortWithinPartitions("key", "salt")
+    blocks = blocks.repartition(F.xxhash64("key", "salt")).sortWithinPartitions("key", "salt")
     probable = blocks.mapInPandas(_probable(percent / 100 - margin), "a long, b long")
     clusters = components(probable).select(F.col("node").alias("rep"), F.col("component").alias("cluster"))
     clusters = settle(clusters, "clusters")
@@ -334,7 +334,7 @@ def near_duplicates(
         dealt = _salted(placed, "cluster", "m", block, 3).withColumn("visitor", F.lit(False))
         visiting = outside.withColumn("salt", F.explode(F.sequence(F.lit(0), F.ceil(F.col("m") / block) - 1))).withColumn("visitor", F.lit(True))
         columns = ["cluster", "salt", "rep", "set", "visitor"]
-        met = dealt.select(columns).union(visiting.select(columns)).repartition("cluster", "salt").sortWithinPartitions("cluster", "salt")
+        met = dealt.select(columns).union(visiting.select(columns)).repartition(F.xxhash64("cluster", "salt")).sortWithinPartitions("cluster", "salt")
         links = links.union(met.mapInPandas(_visits(percent), "a long, b long"))
     final = components(links)
     named = reps.join(final, F.col("rep") == F.col("node"), "left").select("hi", "lo", F.coalesce("component", "rep").alias("component_id"))
@@ -346,7 +346,7 @@ def near_duplicates(
 
 def _linked(sets: DataFrame, percent: int, block: int, seed: int) -> DataFrame:
     dealt = _salted(sets, "cluster", "m", block, seed).select("cluster", "salt", "rep", "set")
-    return dealt.repartition("cluster", "salt").sortWithinPartitions("cluster", "salt").mapInPandas(_exact(percent), "a long, b long")
+    return dealt.repartition(F.xxhash64("cluster", "salt")).sortWithinPartitions("cluster", "salt").mapInPandas(_exact(percent), "a long, b long")
 
 
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:

@@ -130,7 +130,13 @@ GRAPH = "node long, others array<long>, sims array<float>, fresh array<tinyint>,
 
 
 def _grouped_by(df: DataFrame, key: str) -> DataFrame:
-    return df.withColumn("zero", F.lit(0)).repartition(key).sortWithinPartitions(key)
+    """Rows of a key together in one partition.
+
+    Dealt by a hash of the key: a shuffle by the key itself is left out where
+    a join before it has the same keys, and adaptive execution may then split
+    one key's rows over tasks.
+    """
+    return df.withColumn("zero", F.lit(0)).repartition(F.xxhash64(key)).sortWithinPartitions(key)
 
 
 def build_graph(nodes: DataFrame, count: int, *, k: int, best: int, fan: int, rounds: int, stop: float, seed: int) -> DataFrame:
