@@ -142,6 +142,26 @@ def test_near_duplicates_match_brute_force(spark, block):
     assert twice.count() == 2 * len(rows) and twice.where("kept").select("doc_id").distinct().count() == len({c for _, c in got.values()})
 
 
+def test_near_duplicates_in_large_buckets(spark):
+    """Pairs of a template family whose other members are too far apart to connect them."""
+    rng = random.Random(11)
+    base = [f"w{rng.randint(0, 10_000)}" for _ in range(200)]
+    texts = []
+    for i in range(100):
+        member = list(base)
+        for at in range(3):
+            member[60 * at + rng.randrange(55)] = f"m{i}"
+        twin = list(member)
+        twin[rng.randrange(200)] = f"t{i}"
+        texts += [" ".join(member), " ".join(twin)]
+    rows = list(enumerate(texts))
+    want = brute_groups(rows)
+    assert len({c for _, c in want.values()}) == 100
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in M.near_duplicates(df, block=2, halves=4, margin=0.02).collect()}
+    assert got == want
+
+
 def test_near_duplicates_edges(spark):
     df = spark.createDataFrame([(None, "a b c d e f"), (2, "a b c d e f")], "doc_id long, text string")
     rows = {r.doc_id: r for r in M.near_duplicates(df).collect()}

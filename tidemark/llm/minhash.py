@@ -8,9 +8,12 @@ six minhashes cost 48 minhashes instead of 384.
 1. One pass over the texts makes, for each document, its set's size, a 128-bit
    digest of the set, table keys and a sketch. Equal sets become one class and
    stay one row from here on.
-2. Classes that share a table key meet in blocks of at most ``block`` rows
+2. Classes that share a table key meet in blocks of about ``block`` rows
    and are compared by sketch; each block returns a forest of probable links,
-   never all pairs. Buckets with the same members are compared once.
+   never all pairs. Buckets with the same members are compared once. A bucket
+   of several blocks is dealt twice by different deals; then every class
+   outside the bucket's largest part meets all of the bucket, so each pair not
+   yet known to be connected is compared.
 3. The components of those forests are *clusters*. Each member's full set is
    sent to its cluster once. A cluster of at most ``block`` classes is linked
    there exactly. A larger one is dealt to blocks, twice by different deals;
@@ -172,8 +175,18 @@ def grouped(frames: Iterator[pd.DataFrame], by: tuple[str, str]) -> Iterator[dic
         yield rest
 
 
+def _alike(one: np.ndarray, others: np.ndarray, least: float) -> np.ndarray:
+    """Indices of the sketches in ``others`` whose similarity to ``one`` is ``least`` or more."""
+    same = ((others == one) & (one > 0)).sum(axis=1)
+    some = ((others > 0) | (one > 0)).sum(axis=1)
+    return np.flatnonzero(same >= least * some)
+
+
 def _probable(least: float):
-    """Blocks of classes in one table: forest edges of sketch similarity ``least`` or more."""
+    """Blocks of classes in one table: forest edges of sketch similarity ``least`` or more.
+
+    In blocks with visitors only visitors meet the block's own classes.
+    """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         a: list[int] = []
@@ -184,12 +197,18 @@ def _probable(least: float):
                 continue
             s = np.frombuffer(b"".join(g["sketch"]), np.uint8).reshape(len(ids), 256)
             forest = Forest(len(ids))
-            for i in range(len(ids) - 1):
-                rest = s[i + 1 :]
-                same = ((rest == s[i]) & (s[i] > 0)).sum(axis=1)
-                some = ((rest > 0) | (s[i] > 0)).sum(axis=1)
-                for j in np.flatnonzero(same >= least * some):
-                    forest.union(i, i + 1 + int(j))
+            if "visitor" in g:
+                visiting = g["visitor"].astype(bool)
+                own = np.flatnonzero(~visiting)
+                theirs = s[own]
+                for i in np.flatnonzero(visiting):
+                    for j in own[_alike(s[i], theirs, least)]:
+                        if ids[i] != ids[j]:
+                            forest.union(int(i), int(j))
+            else:
+                for i in range(len(ids) - 1):
+                    for j in _alike(s[i], s[i + 1 :], least):
+                        forest.union(i, i + 1 + int(j))
             a += [int(ids[x]) for x, _ in forest.edges]
             b += [int(ids[y]) for _, y in forest.edges]
             if len(a) > 50_000:
@@ -309,12 +328,17 @@ def near_duplicates(
     keyed = settle(classes.select("rep", F.explode("keys").alias("key")).distinct(), "keys")
     member = F.xxhash64("rep")
     buckets = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.bit_xor(member).alias("x"), F.min("rep").alias("least")).where("m > 1")
-    buckets = buckets.groupBy("m", "x", "least").agg(F.min("key").alias("key"))
+    buckets = settle(buckets.groupBy("m", "x", "least").agg(F.min("key").alias("key")), "buckets")
     met = keyed.join(buckets.select("key", "m"), "key")
     sketches = classes.select("rep", "sketch").dropDuplicates(["rep"])
-    blocks = _salted(met, "key", "m", block, 0).join(sketches, "rep").select("key", "salt", "rep", "sketch")
-    blocks = blocks.repartition(F.xxhash64("key", "salt")).sortWithinPartitions("key", "salt")
-    probable = blocks.mapInPandas(_probable(percent / 100 - margin), "a long, b long")
+    least = percent / 100 - margin
+    probable = _sketched(_salted(met, "key", "m", block, 0), sketches, least)
+    large = buckets.where(F.col("m") > block).select("key", "m")
+    if large.limit(1).count():
+        large = settle(keyed.join(F.broadcast(large), "key"), "large-buckets")
+        probable = settle(probable.union(_sketched(_salted(large, "key", "m", block, 4), sketches, least)), "probable")
+        met = _visited(large, components(probable), block)
+        probable = probable.union(_sketched(met, sketches, least))
     clusters = components(probable).select(F.col("node").alias("rep"), F.col("component").alias("cluster"))
     clusters = settle(clusters, "clusters")
     near = F.broadcast(clusters) if clusters.count() <= broadcast_rows else clusters
@@ -344,6 +368,32 @@ def near_duplicates(
     return out.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("doc"), F.lit(True)).alias("kept"))
 
 
+def _sketched(met: DataFrame, sketches: DataFrame, least: float) -> DataFrame:
+    blocks = met.join(sketches, "rep").select("key", "salt", "rep", "sketch", *[c for c in met.columns if c == "visitor"])
+    return blocks.repartition(F.xxhash64("key", "salt")).sortWithinPartitions("key", "salt").mapInPandas(_probable(least), "a long, b long")
+
+
+def _visited(large: DataFrame, part: DataFrame, block: int) -> DataFrame:
+    """Blocks in which each class outside its bucket's largest part meets every class of the bucket.
+
+    A bucket's classes are dealt to blocks and its visitors to shares of about
+    ``block``; each block meets each share in a group of its own, so that a
+    bucket of many small parts makes more groups, not larger ones.
+    """
+    part = part.select(F.col("node").alias("rep"), "component")
+    placed = settle(large.join(part, "rep", "left").withColumn("component", F.coalesce("component", "rep")), "large-bucket-parts")
+    parts = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("c"))
+    main = parts.groupBy("key").agg(F.max(F.struct("c", "component")).alias("top"), F.sum("c").alias("all"))
+    main = settle(main.select("key", F.col("top.component").alias("main"), (F.col("all") - F.col("top.c")).alias("v")).where("v > 0"), "large-bucket-mains")
+    placed = placed.join(F.broadcast(main), "key").withColumn("blocks", F.ceil(F.col("m") / block)).withColumn("shares", F.ceil(F.col("v") / block))
+    deal = lambda n, seed: F.pmod(F.xxhash64("rep", "key", F.lit(seed)), F.col(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    dealt = placed.withColumn("at", deal("blocks", 5)).withColumn("share", every("shares")).withColumn("visitor", F.lit(False))
+    visiting = placed.where("component != main").withColumn("share", deal("shares", 6)).withColumn("at", every("blocks")).withColumn("visitor", F.lit(True))
+    columns = ["key", "rep", "visitor", (F.col("at") * F.col("shares") + F.col("share")).alias("salt")]
+    return dealt.select(columns).union(visiting.select(columns))
+
+
 def _linked(sets: DataFrame, percent: int, block: int, seed: int) -> DataFrame:
     dealt = _salted(sets, "cluster", "m", block, seed).select("cluster", "salt", "rep", "set")
     return dealt.repartition(F.xxhash64("cluster", "salt")).sortWithinPartitions("cluster", "salt").mapInPandas(_exact(percent), "a long, b long")
