@@ -197,6 +197,41 @@ def test_band_keys_are_minhashes(spark):
     assert sorted(L.with_band_keys(df, 3, 2).drop("set").collect()) == sorted(want.collect())
 
 
+def brute_lines(lines, width=20):
+    """Which of distinct one-line documents 0, 1, ... go, by plain character shingles."""
+    sets = [{x[i : i + width] for i in range(len(x) - width + 1)} or {x} for x in (y.strip().lower() for y in lines)]
+    first = list(range(len(lines)))
+
+    def find(x):
+        while first[x] != x:
+            x = first[x]
+        return x
+
+    for i in range(len(lines)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = find(i), find(j)
+                first[max(a, b)] = min(a, b)
+    return {i for i in range(len(lines)) if find(i) != i}
+
+
+def gone_lines(spark, lines, **options):
+    return {r.doc for r in L.dropped_lines(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string"), **options).collect()}
+
+
+def test_line_sets_read_every_character(spark):
+    """Lines that differ only inside or after their last word stay; only close ones go."""
+    stem = "image: https://example.com"
+    lines = [f"{stem}/cats/alpha-report-2021.html", f"{stem}/dogs/zulu-recipe-1987.pdf", f"{stem}/cats/alpha-report-2022.html"]
+    lines += [f"from: x{i:02d}0123456789abcdef{hashlib.sha256(str(i).encode()).hexdigest()}" for i in range(6)]
+    lines += [f"read on for more {hashlib.md5(str(i).encode()).hexdigest()}" for i in range(6)]
+    plain = "the first of our lines runs over the old fields of corn and into the roots of a large old oak"
+    lines += [plain, plain + " x", plain[:50]]
+    want = brute_lines(lines)
+    assert want == {16}
+    assert gone_lines(spark, lines) == want
+
+
 @pytest.mark.parametrize("whole_bucket", [8, 1])
 def test_line_links(spark, whole_bucket):
     """Nothing but true links, and nearly all of them: banding misses few pairs near the threshold."""
