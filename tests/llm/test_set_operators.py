@@ -232,6 +232,26 @@ def test_line_sets_read_every_character(spark):
     assert gone_lines(spark, lines) == want
 
 
+def test_line_signatures_read_every_line(spark):
+    """Near lines meet in any script, without spaces, as digits, and when they are short."""
+    lines = []
+    for base in (
+        "съешь же ещё этих мягких французских булок да выпей чаю у самого синего моря в эту тихую пору",
+        "η γρήγορη αλεπού πηδά πάνω από τον τεμπέλη σκύλο και τρέχει μακριά στο σκοτεινό δάσος πριν βρέξει",
+        "صباح الخير يا جيراننا الاعزاء نرجو منكم اغلاق الباب الكبير بعد الدخول وعدم ترك الدراجات في الممر",
+        "天地玄黄宇宙洪荒日月盈昃辰宿列张寒来暑往秋收冬藏闰余成岁律吕调阳云腾致雨露结为霜金生丽水玉出昆冈剑号巨阙珠称夜光果珍李柰菜重芥姜",
+        "1048 2203 9917 4410 3391 7782 5519 6034 8821 1190 4472 9035 2218 7746 3309 5581",
+        "9f86d081884b7d659a2beaa0c55ad015a3bf4f1b2b0b822bd15d6c15b0f00a08a94a8be5ccb19ba61c4b8673",
+        "many happy days await you",
+    ):
+        lines += [base, base + "7", base[: len(base) // 2]]
+    lines += ["too short", "too short7"]
+    want = brute_lines(lines)
+    assert want == {1, 4, 7, 10, 13, 16, 19}
+    assert gone_lines(spark, lines) == want
+    assert gone_lines(spark, lines, broadcast_rows=0) == want
+
+
 @pytest.mark.parametrize("whole_bucket", [8, 1])
 def test_line_links(spark, whole_bucket):
     """Nothing but true links, and nearly all of them: banding misses few pairs near the threshold."""
