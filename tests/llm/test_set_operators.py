@@ -99,6 +99,14 @@ def test_nearest_neighbours(spark):
     assert N.search(df.where("false"), every=50).count() == 0
 
 
+def test_nearest_neighbours_of_one_class(spark):
+    equal = spark.createDataFrame([(i, [1.0, 2.0]) for i in (0, 1, 2, 50)], "vec_id long, embedding array<float>")
+    got = N.search(equal, every=50).orderBy("query_id", "rank").collect()
+    assert [(r.query_id, r["rank"], r.vec_id) for r in got] == [(0, 1, 1), (0, 2, 2), (0, 3, 50), (50, 1, 0), (50, 2, 1), (50, 3, 2)]
+    assert all(r.score == pytest.approx(1) for r in got)
+    assert N.search(equal.where("vec_id = 0"), every=50).count() == 0
+
+
 def brute_groups(rows, percent=85):
     words = M.Words()
     sets = {i: M.shingle_set(t.encode() if t is not None else None, words) for i, t in rows}

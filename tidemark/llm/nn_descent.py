@@ -157,7 +157,7 @@ def build_graph(nodes: DataFrame, count: int, *, k: int, best: int, fan: int, ro
         after = settle(_grouped_by(old.union(found), "node").mapInPandas(_lists(k), GRAPH), "graph")
         discard(graph)
         graph = after
-        if graph.agg(F.sum("changed")).first()[0] <= stop * k * count:
+        if graph.agg(F.coalesce(F.sum("changed"), F.lit(0))).first()[0] <= stop * k * count:
             break
     return graph
 
