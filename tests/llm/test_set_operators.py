@@ -70,6 +70,18 @@ def test_warc_refuses_damage(spark):
     assert [(r.payload_bytes, r.payload_digest) for r in W.summary(spark, damaged).collect()] == [(None, None)]
 
 
+def test_warc_urls_cannot_forge_headers(spark):
+    forged = "\u2028WARC-Payload-Digest: sha256:" + "a" * 64 + "\u2028WARC-Refers-To: <urn:page:77>\u0085WARC-Type: revisit\r\nWARC-Refers-To: <urn:page:78>\r\n"
+    rows = [(1, "http://a/" + forged, "x" * 200), (2, forged, "y"), (3, None, "y"), (4, "urn:none", "y"), (5, "", "y"), (6, "http://é/a%0Ab c", "y")]
+    path = W.archive(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    got = {r.page_id: r for r in W.summary(spark, path).collect()}
+    for i, _, html in rows:
+        assert (got[i].payload_bytes, got[i].payload_digest, got[i].record_type, got[i].refers_to) == (len(html), hashlib.sha256(html.encode()).hexdigest(), "response", None)
+    urls = {r.page_id: r.url for r in W.read_records(spark, path).collect()}
+    assert (urls[3], urls[4], urls[5], urls[6]) == (None, "urn:none", "", rows[5][1])
+    assert urls[2].startswith("%E2%80%A8WARC-Payload-Digest") and urls[2].endswith("%0D%0A") and not set(urls[2]) & set(W.CONTROLS)
+
+
 def test_nearest_neighbours(spark):
     rng = np.random.default_rng(4)
     v = rng.standard_normal((600, 16)).astype(np.float32)
@@ -390,8 +402,7 @@ def test_mixing(spark):
         caps[k] = caps.get(k, 0) + 2 * tokens[i]
     top = {}
     for (lang, source), c in caps.items():
-        top[lang] = top.get(lang, 0) + c
-    # capacity counts sources with weight 0 as well, as the tree hands down what is asked for
+        top[lang] = top.get(lang, 0) + c * (source != "s2")  # what has weight 0 can take nothing
     first = brute_fill(top, weights["lang"], int(sum(tokens.values()) * 0.4))
     taken = {}
     for r in out:
@@ -404,3 +415,16 @@ def test_mixing(spark):
     again = X.mix(df, levels={"lang": "lang", "source": "source"}, weights=weights, share=0.4, max_epochs=2)
     assert sorted((r.doc_id, r.mix_copies) for r in again.collect()) == sorted((r.doc_id, r.mix_copies) for r in out)
     assert X.mix(df.where("false"), levels={"lang": "lang"}, weights={}).count() == 0
+
+
+def test_mixing_passes_budget_by_what_may_be_taken(spark):
+    """A language whose only source has weight 0 leaves its budget to its sibling; repeats and long texts count whole."""
+    rows = [(i, "x" * 4000, lang, f"{lang}-s") for lang, at in (("de", 0), ("en", 100)) for i in range(at, at + 5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    levels = {"lang": "lang", "source": "source"}
+    out = X.mix(df, levels=levels, weights={"source": {"de-s": 0}}, share=0.4, max_epochs=1).collect()
+    assert sum(r.mix_copies * r.mix_tokens for r in out if r.lang == "en") == 4000 and not any(r.mix_copies for r in out if r.lang == "de")
+    twice = X.mix(df.union(df), levels=levels, weights={}, share=0.5, max_epochs=1).collect()
+    assert len(twice) == 20 and all(len({r.mix_copies for r in twice if r.doc_id == i}) == 1 for i, *_ in rows)
+    long = spark.createDataFrame([(1, "y" * 2_000_001, "en", "s")], "doc_id long, text string, lang string, source string")
+    assert [(r.mix_tokens, r.mix_copies) for r in X.mix(long, levels=levels, weights={}, share=1.0).collect()] == [(500_001, 1)]

@@ -3,9 +3,9 @@
 A budget of tokens flows down a tree of levels (by default domain, language,
 source). Among siblings it is split by weight; a child that has less to give
 than its share gives all, and what it leaves over goes to its siblings by
-weight before the parent passes anything on. Since a node's capacity is that
-of its whole subtree, only a subtree that is spent passes budget to its
-parent's siblings. This is water filling, solved in closed form by one window
+weight before the parent passes anything on. Since a node's capacity is what
+its whole subtree may take, leaves under a weight of 0 aside, only a subtree
+that is spent passes budget to its parent's siblings. This is water filling, solved in closed form by one window
 a level over the tree, whose size is the number of leaves.
 
 A leaf's documents repeat in epochs, each in its own seeded order; the leaf
@@ -48,14 +48,17 @@ def _weight(level: str, weights: dict[str, dict[str, int]]) -> Column:
 def allocate(leaves: DataFrame, levels: list[str], weights: dict[str, dict[str, int]], budget: Column) -> DataFrame:
     """``leaves`` (levels..., n, tokens, cap) with ``grant``, the tokens each may take.
 
-    Weights are whole numbers, 1 where not given, and 0 takes nothing; grants
-    are rounded down at each level. Capacity ties are broken by name.
+    Weights are whole numbers, 1 where not given, and 0 takes nothing, nor
+    does what is below it; grants are rounded down at each level. Capacity ties
+    are broken by name.
     """
-    out = leaves.withColumn("grant", budget.cast("long"))
+    taking = F.lit(True)
+    for level in levels:
+        taking = taking & (_weight(level, weights) > 0)
+    out = leaves.withColumn("cap", F.when(taking, F.col("cap")).otherwise(0)).withColumn("grant", budget.cast("long"))
     for i, level in enumerate(levels):
         above, here = levels[:i], levels[: i + 1]
         nodes = out.groupBy(*here).agg(F.sum("cap").alias("c"), F.max("grant").alias("b")).withColumn("w", _weight(level, weights))
-        nodes = nodes.withColumn("c", F.when(F.col("w") > 0, F.col("c")).otherwise(0))
         nodes = nodes.withColumn("ratio", F.when(F.col("w") > 0, F.col("c") / F.col("w")).otherwise(F.lit(0.0)))
         part = Window.partitionBy(*above) if above else Window.partitionBy(F.lit(0))
         order = part.orderBy("ratio", level)
@@ -88,7 +91,8 @@ def mix(
     SQL expressions over ``docs`` (null counts as ''). The budget is ``share`` of all
     tokens. Documents without tokens are never taken. Rows that repeat an id
     have the same place in an order and go or stay together. A null id orders
-    as the id ''. Columns named ``mix_...`` are replaced.
+    as the id ''. Columns named ``mix_...`` are replaced, an empty table stays
+    empty, and a text counts with its whole length.
     """
     names = [f"mix_{k}" for k in levels]
     rows = docs.drop("mix_tokens", "mix_copies", *names)

@@ -21,8 +21,19 @@ CRLF = "\r\n"
 DATE = "2024-01-01T00:00:00Z"
 
 
+#: Characters that could end a header line or hide in one: controls, and the separators U+0085, U+2028, U+2029.
+CONTROLS = [*map(chr, [*range(0x20), 0x7F, *range(0x80, 0xA0), 0x2028, 0x2029])]
+
+
+def _one_line(text: Column) -> Column:
+    """Control characters and line separators as the percent-encoding of their UTF-8 bytes."""
+    out = text
+    for c in CONTROLS:
+        out = F.replace(out, F.lit(c), F.lit("".join(f"%{x:02X}" for x in c.encode())))
+    return F.when(text.rlike(r"[\x{00}-\x{1F}\x{7F}-\x{9F}\x{2028}\x{2029}]"), out).otherwise(text)
+
+
 def _header(kind: Column, page: Column, refers: Column, url: Column, digest: Column, length: Column) -> Column:
-    uri = F.replace(F.replace(F.coalesce(url, F.lit("urn:none")), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit(CRLF))
     urn = lambda c: F.concat(F.lit("<urn:page:"), c.cast("string"), F.lit(">"))
     revisit = kind == "revisit"
@@ -31,7 +42,7 @@ def _header(kind: Column, page: Column, refers: Column, url: Column, digest: Col
         line("WARC-Type", kind),
         line("WARC-Record-ID", F.coalesce(urn(page), F.lit("<urn:page:>"))),
         line("WARC-Date", F.lit(DATE)),
-        line("WARC-Target-URI", uri),
+        F.coalesce(line("WARC-Target-URI", _one_line(url)), F.lit("")),
         line("WARC-Payload-Digest", F.concat(F.lit("sha256:"), digest)),
         F.when(revisit, F.concat(line("WARC-Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")), line("WARC-Refers-To", urn(refers)))).otherwise(F.lit("")),
         line("Content-Type", F.lit("text/html; charset=utf-8")),
@@ -45,10 +56,12 @@ def write(pages: DataFrame, path: str, *, least: int = 100, page_id: str = "page
 
     Of rows with equal payloads of ``least`` bytes or more, the one with the
     smallest page id is a response and the others revisit it; smaller payloads
-    are all responses. Null html is the empty payload, a null url ``urn:none``,
-    line breaks in a url are percent-encoded. Rows with a null page id never
-    serve as the one referred to unless no other has the payload. A row that
-    repeats another's page id and payload gets the same record again.
+    are all responses. Null html is the empty payload; a null url has no
+    header line, and control characters and line separators in a url are
+    percent-encoded. Rows with a null page id never serve as the one referred
+    to unless no other has the payload. A row that repeats another's page id
+    and payload gets the same record again. An empty table makes an empty
+    archive, a payload may have any length, and other columns are not read.
     """
     payload = F.coalesce(F.col(html_col).cast("binary"), F.lit(b""))
     base = pages.select(F.col(page_id).alias("page"), F.col(url_col).alias("url"), payload.alias("payload")).withColumn("digest", F.sha2("payload", 256)).withColumn("length", F.octet_length("payload").cast("long"))
@@ -71,18 +84,21 @@ def read_payloads(spark, path: str) -> DataFrame:
 
 
 def _field(name: str) -> Column:
-    return F.nullif(F.regexp_extract("header", rf"(?m)^{name}: ([^\r\n]*)", 1), F.lit(""))
+    """The value of the header line of that name, null without one; only CRLF ends a line."""
+    start = f"{name}: "
+    found = F.filter(F.split("header", CRLF, -1), lambda x: F.startswith(x, F.lit(start)))
+    return F.substring(F.get(found, 0), len(start) + 1, 1 << 30)
 
 
 def read_records(spark, path: str) -> DataFrame:
     """(page_id, url, record_type, refers_to, digest, header) as the headers say."""
-    urn = lambda name: F.nullif(F.regexp_extract("header", rf"(?m)^{name}: <urn:page:([^>]*)>", 1), F.lit("")).cast("long")
+    urn = lambda name: F.nullif(F.regexp_extract(_field(name), r"^<urn:page:([^>]*)>$", 1), F.lit("")).cast("long")
     return spark.read.parquet(f"{path}/records").select(
         urn("WARC-Record-ID").alias("page_id"),
         _field("WARC-Target-URI").alias("url"),
         _field("WARC-Type").alias("record_type"),
         urn("WARC-Refers-To").alias("refers_to"),
-        F.regexp_extract("header", r"(?m)^WARC-Payload-Digest: sha256:([0-9a-f]{64})", 1).alias("digest"),
+        F.regexp_extract(_field("WARC-Payload-Digest"), r"^sha256:([0-9a-f]{64})$", 1).alias("digest"),
         "header",
     )
 
