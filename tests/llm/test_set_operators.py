@@ -215,8 +215,10 @@ def test_sub_keys_are_minhashes(spark):
     low = [(i, [min(r.h ^ L._mask(k) for r in hashed if r.id == i) for k in range(6)]) for i in range(len(lines))]
     plain = [F.xxhash64(F.lit(k), F.get("low", F.lit(2 * k)), F.get("low", F.lit(2 * k + 1))).alias(f"b{k}") for k in range(3)]
     want = spark.createDataFrame(low, "id int, low array<long>").select("id", *plain)
-    got = L.signed(spark.createDataFrame(list(enumerate(lines)), "id int, line string"), 8, 3)
-    assert sorted(got.collect()) == sorted(want.collect())
+    once = spark.createDataFrame([(i, 0, 7 - k, x) for i, x in enumerate(lines) for k in range(1 + i % 2)], "h long, g long, doc long, line string")
+    got = L.signed(once, 8, 3).collect()
+    assert sorted((r.h, r.b0, r.b1, r.b2) for r in got) == sorted(tuple(r) for r in want.collect())
+    assert sorted((r.h, r.doc, r.n, r.long) for r in got) == [(i, 7 - i % 2, 1 + i % 2, len(x) >= 8) for i, x in enumerate(lines)]
 
 
 def test_bitmaps_prove_only_what_is_true(spark):
