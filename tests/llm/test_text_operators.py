@@ -1,6 +1,7 @@
 """Decontamination, URL filters, token counts, language ID, toxicity: brute force and edge cases."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -177,6 +178,51 @@ def test_grammar():
     assert score("she said idiot") == pytest.approx(2.0 * 1.5 * 0.6)
     assert score("not x. idiot") == pytest.approx(2.0)
     assert len(X.clauses("idiot. ok. idiot", lexicon, table)) == 2
+    assert score("idiot you") == score("you idiot") == score("you idiot you") == pytest.approx(3.0)
+    assert score("idiot.\nyou") == pytest.approx(2.0)
+    # a threat verb counts unlearned, but only at a target that follows closely
+    assert score("i will kill you") == pytest.approx(2.0) and score("kill the old process") == 0 and score("you kill") == 0
+    assert score("kill a b c you") == pytest.approx(2.0) and score("kill a b c d you") == 0
+    assert score("i would never kill you") == pytest.approx(0.8) and score("she said kill them") == pytest.approx(1.2)
+    learned = X.Lexicon({"kill$": 3.0})
+    assert sum(X.clauses("kill time", learned, table)) == pytest.approx(3.0) and sum(X.clauses("kill them", learned, table)) == pytest.approx(6.0)
+
+
+def test_composed_grammar_is_the_cascade():
+    """The table scores random clauses as the transducers do one after the other, and as the rules say in words."""
+    rng = random.Random(5)
+    table, steps = X.grammar(), [make() for make in X.FORWARD]
+    for _ in range(3000):
+        clause = [rng.choice([X.OTHER, X.OTHER, X.INSULT, X.THREAT, X.TARGET, X.NEGATION, X.REPORT]) for _ in range(rng.randint(0, 12))]
+        weights = [rng.choice([0.0, 0.7, 2.0]) if s in (X.INSULT, X.THREAT) else 0.0 for s in clause]
+        marks, state, marked = X.aim(), 0, []
+        for s in reversed(clause):
+            state, out, _ = marks.step(state, s)
+            marked.insert(0, out)
+        line, factor = marked, [0.0] * len(clause)
+        for t in steps:
+            state, after = 0, []
+            for i, s in enumerate(line):
+                state, out, w = t.step(state, s)
+                after.append(out)
+                factor[i] += w
+            line = after
+        cascade = sum((max(w, X.THREAT_WEIGHT) if o == X.AIMED_THREAT else w) * math.exp(f) for o, w, f in zip(line, weights, factor) if o in X.MATCHES)
+        plain = 0.0
+        for i, s in enumerate(clause):
+            if s not in (X.INSULT, X.THREAT):
+                continue
+            w = weights[i]
+            if s == X.INSULT and X.TARGET in clause[:i] + clause[i + 1 :]:
+                w *= 1.5
+            if s == X.THREAT and X.TARGET in clause[i + 1 : i + 5]:
+                w = 2 * max(w, X.THREAT_WEIGHT)
+            if X.NEGATION in clause[max(0, i - 3) : i]:
+                w *= 0.4
+            if X.REPORT in clause[:i]:
+                w *= 0.6
+            plain += w
+        assert table.score(clause, weights) == pytest.approx(cascade) == pytest.approx(plain)
 
 
 def test_toxicity_held_out(spark):
@@ -189,3 +235,12 @@ def test_toxicity_held_out(spark):
     held = [r for r in rows if r.doc_id in truth and zlib.crc32(str(r.doc_id).encode()) % 5 == 0]
     assert np.mean([(r.score >= 0.5) == truth[r.doc_id] for r in held]) > 0.9
     assert {r.score for r in X.score(docs.limit(3), labels.where("false")).collect()} == {0.0}
+
+
+def test_toxicity_of_few_rows(spark):
+    """Too few labels to calibrate on make no text toxic by themselves; repeated rows and empty tables are defined."""
+    docs = spark.createDataFrame([(1, "a fine day"), (1, "a fine day"), (2, "we will kill you all"), (None, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 0)], "doc_id long, toxic int")
+    got = X.score(docs, labels).collect()
+    assert sorted((str(r.doc_id), r.score >= 0.5) for r in got) == [("1", False), ("1", False), ("2", True), ("None", False)]
+    assert X.score(docs.where("false"), labels).count() == 0

@@ -1,17 +1,22 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
 Words become symbols (insult, threat, target, negation, reported speech,
-other). Four transducers rewrite the symbols of a clause and weigh them:
-negation weakens what follows within three words, reported speech what
-follows in the clause, a target before or after an insult strengthens it, and
-the last reads off insults and threats. They are composed once into one table
-of states; a clause is scored by one walk over it, and words outside a match
-add nothing. A document's score is a logistic function of its clause scores.
-
-Insults and threats are weighted terms (words or word beginnings) learned
-from labelled documents; targets, negations and reporting words are fixed
-lists. What is learned comes from a bounded sample of labelled rows, counted
-on the executors.
+other). A clause is read from its end first, by a transducer that marks the
+insults with a target anywhere after them and the threats with one within four
+words: whom they are aimed at. Four transducers then rewrite and weigh the
+symbols from the start: negation weakens what follows within three words,
+reported speech what follows in the clause; the insult transducer strengthens
+insults with a target before or after, the threat transducer threats that are
+aimed at a target; the last reads off what is matched. These four are composed
+once into one table of states, so a clause is scored by one walk in each
+direction, and words outside a match add nothing. A document's score is a
+logistic function of its clause scores.
+
+Insults are weighted terms (words or word beginnings) learned from labelled
+documents. Threat verbs are a fixed list: one aimed at a target weighs at least
+``THREAT_WEIGHT``, any other only what was learned of it. Targets, negations and
+reporting words are fixed lists as well. What is learned comes from a bounded
+sample of labelled rows, counted on the executors.
 """
 
 from __future__ import annotations
@@ -30,7 +35,8 @@ from pyspark.sql import functions as F
 from ..session import ship
 from .common import crc_mod, settle
 
-OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
+SYMBOLS = OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, AIMED_INSULT, AIMED_THREAT = range(8)
+THREAT_WEIGHT = 1.0
 
 # Function words of English, French, German and Spanish.
 TARGETS = "you your he she they them him her people everyone tu toi vous il elle ils elles gens du dich dir ihr sie er leute tú usted ustedes él ella ellos ellas gente".split()
@@ -57,7 +63,7 @@ class Transducer:
         found = self.arcs.get((state, symbol))
         return found if found is not None else (self.rest.get(state, state), symbol, 0.0)
 
-    def compose(self, then: Transducer, symbols: int = 6) -> Transducer:
+    def compose(self, then: Transducer, symbols: int = len(SYMBOLS)) -> Transducer:
         """The transducer that feeds this one's output to ``then``."""
         arcs, rest = {}, {}
         for a in range(self.states):
@@ -70,30 +76,78 @@ class Transducer:
         return Transducer(arcs, rest, self.states * then.states)
 
 
+MATCHES = (INSULT, THREAT, AIMED_INSULT, AIMED_THREAT)
+
+
+def aim(scope: int = 4) -> Transducer:
+    """Read from the end: marks insults before any target, and threats within ``scope`` words before one.
+
+    State 0 has seen no target, state 1 one further away, state k + 1 one within k words.
+    """
+    arcs = {(s, TARGET): (scope + 1, TARGET, 0.0) for s in range(scope + 2)}
+    arcs |= {(s, INSULT): (max(s - 1, 1), AIMED_INSULT, 0.0) for s in range(1, scope + 2)}
+    arcs |= {(s, THREAT): (s - 1, AIMED_THREAT, 0.0) for s in range(2, scope + 2)}
+    return Transducer(arcs, {s: max(s - 1, 1) for s in range(1, scope + 2)}, scope + 2)
+
+
 def negation(scope: int = 3, weight: float = math.log(0.4)) -> Transducer:
     arcs = {(s, NEGATION): (scope, OTHER, 0.0) for s in range(scope + 1)}
-    arcs |= {(s, k): (s - 1, k, weight) for s in range(1, scope + 1) for k in (INSULT, THREAT)}
+    arcs |= {(s, k): (s - 1, k, weight) for s in range(1, scope + 1) for k in MATCHES}
     return Transducer(arcs, {s: max(0, s - 1) for s in range(scope + 1)}, scope + 1)
 
 
 def reported(weight: float = math.log(0.6)) -> Transducer:
-    arcs = {(s, REPORT): (1, OTHER, 0.0) for s in range(2)} | {(1, k): (1, k, weight) for k in (INSULT, THREAT)}
+    arcs = {(s, REPORT): (1, OTHER, 0.0) for s in range(2)} | {(1, k): (1, k, weight) for k in MATCHES}
     return Transducer(arcs, {}, 2)
 
 
-def targeted(weight: float = math.log(1.5)) -> Transducer:
-    arcs = {(s, TARGET): (1, OTHER, 0.0) for s in range(2)} | {(1, k): (1, k, weight) for k in (INSULT, THREAT)}
+def insults(weight: float = math.log(1.5)) -> Transducer:
+    """An insult with a target before it, or marked as having one after it."""
+    arcs = {(s, TARGET): (1, TARGET, 0.0) for s in range(2)} | {(1, INSULT): (1, AIMED_INSULT, weight)}
+    arcs |= {(s, AIMED_INSULT): (s, AIMED_INSULT, weight) for s in range(2)}
     return Transducer(arcs, {}, 2)
 
 
+def threats(weight: float = math.log(2.0)) -> Transducer:
+    """A threat at a target; another announced threat in the clause adds nothing to it but itself."""
+    return Transducer({(0, AIMED_THREAT): (0, AIMED_THREAT, weight)}, {}, 1)
+
+
 def matched() -> Transducer:
     return Transducer({(0, k): (0, OTHER, 0.0) for k in (TARGET, NEGATION, REPORT)}, {}, 1)
 
 
-def grammar() -> list[list[tuple[int, bool, float]]]:
-    """Table of the composed grammar: by state and symbol (next state, matched, factor)."""
-    t = negation().compose(reported()).compose(targeted()).compose(matched())
-    return [[(nxt, out in (INSULT, THREAT), math.exp(w)) for nxt, out, w in (t.step(s, k) for k in range(6))] for s in range(t.states)]
+FORWARD = (negation, reported, insults, threats, matched)
+
+
+@dataclass
+class Grammar:
+    """Tables by state and symbol: (next state, mark) from the end, (next state, mark, factor) from the start."""
+
+    back: list[list[tuple[int, int]]]
+    ahead: list[list[tuple[int, int, float]]]
+
+    def score(self, symbols: list[int], weights: list[float]) -> float:
+        """A clause's score: the weights of its matches, each times the factor of its pattern."""
+        marked, state = list(symbols), 0
+        for i in range(len(symbols) - 1, -1, -1):
+            state, marked[i] = self.back[state][symbols[i]]
+        total, state = 0.0, 0
+        for symbol, weight in zip(marked, weights, strict=True):
+            state, out, factor = self.ahead[state][symbol]
+            if out in MATCHES:
+                total += (max(weight, THREAT_WEIGHT) if out == AIMED_THREAT else weight) * factor
+        return total
+
+
+def grammar() -> Grammar:
+    """The composed grammar."""
+    first, *others = [make() for make in FORWARD]
+    for then in others:
+        first = first.compose(then)
+    ahead = [[(nxt, out, math.exp(w)) for nxt, out, w in (first.step(s, k) for k in SYMBOLS)] for s in range(first.states)]
+    marks = aim()
+    return Grammar([[marks.step(s, k)[:2] for k in SYMBOLS] for s in range(marks.states)], ahead)
 
 
 class Lexicon(dict):
@@ -115,28 +169,29 @@ class Lexicon(dict):
     def _look(self, word: str) -> tuple[int, float]:
         if (k := self.fixed.get(word)) is not None:
             return k, 0.0
+        threat = word in THREATS
         for term in [word + "$", *(word[:n] for n in self.lengths if n <= len(word))]:
             if (w := self.terms.get(term)) is not None:
-                return (THREAT if word in THREATS else INSULT), w
-        return OTHER, 0.0
+                return (THREAT if threat else INSULT), w
+        return (THREAT if threat else OTHER), 0.0
 
 
-def clauses(text: str | None, lexicon: Lexicon, table: list[list[tuple[int, bool, float]]]) -> list[float]:
+def clauses(text: str | None, lexicon: Lexicon, table: Grammar) -> list[float]:
     """Scores above 0 of the clauses of a whole text."""
     out: list[float] = []
-    state, score = 0, 0.0
-    for token in TOKENS.findall(text.lower()) if text else []:
+    symbols: list[int] = []
+    weights: list[float] = []
+    found = False
+    for token in [*TOKENS.findall(text.lower()), "."] if text else []:
         if token in ENDS:
-            if score:
+            if found and (score := table.score(symbols, weights)) > 0:
                 out.append(score)
-            state, score = 0, 0.0
+            symbols, weights, found = [], [], False
             continue
         symbol, weight = lexicon[token]
-        state, hit, factor = table[state][symbol]
-        if hit:
-            score += weight * factor
-    if score:
-        out.append(score)
+        symbols.append(symbol)
+        weights.append(weight)
+        found = found or symbol == INSULT or symbol == THREAT
     return out
 
 
@@ -144,8 +199,14 @@ def features(scores: list[float]) -> list[float]:
     return [math.log1p(max(scores, default=0.0)), math.log1p(sum(scores)), float(bool(scores))]
 
 
+#: Weights of the features where there is nothing to calibrate them on: a clause of weight 1.5 and more is toxic.
+UNFITTED = [2.2, 0.0, 0.0, -2.0]
+
+
 def fit(x: np.ndarray, y: np.ndarray, ridge: float = 0.1, rounds: int = 25) -> np.ndarray:
-    """Logistic regression by Newton's method; the intercept is last."""
+    """Logistic regression by Newton's method; the intercept is last. Without rows of both labels, ``UNFITTED``."""
+    if len(set(y.tolist())) < 2:
+        return np.array(UNFITTED)
     x = np.hstack([x, np.ones((len(x), 1))])
     b = np.zeros(x.shape[1])
     penalty = np.diag([ridge] * (x.shape[1] - 1) + [1e-3])
@@ -190,13 +251,14 @@ class Model:
     weights: list[float] | None
 
 
-def learn(docs: DataFrame, labels: DataFrame, *, id_col: str, text_col: str, label_col: str, held_mod: int, held_rem: int, sample_rows: int = 12_000, least: int = 5, purity: float = 0.6, nats: float = 12.0, max_terms: int = 20_000) -> Model:
+def learn(docs: DataFrame, labels: DataFrame, *, id_col: str, text_col: str, label_col: str, held_mod: int, held_rem: int, sample_rows: int = 12_000, least: int = 5, purity: float = 0.6, nats: float = 12.0) -> Model:
     """Terms and calibration from at most ``sample_rows`` labelled rows, those with the smallest hash of their id.
 
     A term needs ``least`` toxic documents, a share of ``purity`` of them, and a
     log likelihood ratio of ``nats`` against the share among all rows. Two rows
     in seven are set aside from that, to calibrate scores on texts whose terms
-    were not counted.
+    were not counted; without both labels among them, fixed weights are taken.
+    Terms come to the driver; the sample bounds how many there can be.
     """
     ship(docs.sparkSession)
     usable = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & (crc_mod(id_col, held_mod) != held_rem)).select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y"))
@@ -215,7 +277,7 @@ def learn(docs: DataFrame, labels: DataFrame, *, id_col: str, text_col: str, lab
     share = F.col("pos") / (F.col("pos") + F.col("neg"))
     surprise = F.col("pos") * F.log(share / base) - (F.col("pos") - base * (F.col("pos") + F.col("neg")))
     good = counts.where((F.col("pos") >= least) & (share >= purity)).where(surprise >= nats)
-    terms = weigh([tuple(r) for r in good.orderBy(F.desc("pos"), "term").limit(max_terms).collect()], n.get(1, 0), n.get(0, 0))
+    terms = weigh([tuple(r) for r in good.orderBy("term").collect()], n.get(1, 0), n.get(0, 0))
     shared = docs.sparkSession.sparkContext.broadcast(Model(terms, None))
     marked = aside.mapInArrow(_features(shared), "f0 double, f1 double, f2 double, y int").limit(sample_rows).collect()
     x = np.array([[r.f0, r.f1, r.f2] for r in marked], np.float64).reshape(-1, 3)
@@ -232,7 +294,7 @@ def _features(shared):
     return run
 
 
-def score_texts(model: Model, texts: list[str | None], lexicon: Lexicon, table: list) -> np.ndarray:
+def score_texts(model: Model, texts: list[str | None], lexicon: Lexicon, table: Grammar) -> np.ndarray:
     if model.weights is None:
         return np.zeros(len(texts))
     f = np.array([features(clauses(t, lexicon, table)) for t in texts], np.float64).reshape(-1, 3)
@@ -266,8 +328,10 @@ def score(
 
     Learns from rows of ``labels`` (same id column) whose crc32 modulo
     ``held_mod`` is not ``held_rem``; ids and labels are not inputs of a score.
-    Null and empty texts have no clauses and get the score of that. Without
-    labelled rows all scores are 0. Repeated rows each get a row.
+    Null and empty texts have no clauses and get the score of that, a text of
+    any length is read whole. Without labelled rows all scores are 0. Repeated
+    rows each get a row, an empty table gives none, and other columns of either
+    table are not read.
     """
     model = learn(docs, labels, id_col=id_col, text_col=text_col, label_col=label_col, held_mod=held_mod, held_rem=held_rem, **learning)
     shared = docs.sparkSession.sparkContext.broadcast(model)
