@@ -151,6 +151,43 @@ def test_gru_gradients():
         assert grads[name][at] == pytest.approx((up - down) / 2e-2, abs=2e-3), name
 
 
+def test_language_windows_hold_every_byte_once():
+    """Each segment is judged with what stands on either side of it, and nothing of another text."""
+    rng = random.Random(4)
+    texts = [bytes(rng.randrange(1, 256) for _ in range(n)) for n in (1, 31, 64, 65, 200, 64 * 70)]
+    seen = {i: b"" for i in range(len(texts))}
+    for x, before, lengths, after, owner in G.windows(texts):
+        for row, b, n, a, i in zip(x, before, lengths, after, owner):
+            at = len(seen[i])
+            assert bytes(row[G.CONTEXT - b : G.CONTEXT + n]) == texts[i][at - b : at + n] and b == min(at, G.CONTEXT)
+            assert bytes(row[G.CONTEXT + G.SEGMENT : G.CONTEXT + G.SEGMENT + a]) == texts[i][at + G.SEGMENT : at + G.SEGMENT + a]
+            assert a == min(max(len(texts[i]) - at - G.SEGMENT, 0), G.CONTEXT)
+            seen[i] += bytes(row[G.CONTEXT : G.CONTEXT + n])
+    assert [seen[i] for i in range(len(texts))] == texts
+
+
+def test_language_states_cross_segments():
+    """With the context, positions after a border differ little from those of one long walk; without it, they start from nothing."""
+    net = G.Network.fresh(["a", "b", "c"], 6, 3)
+    text = bytes(random.Random(6).choice(b"abcdefgh ") for _ in range(1000))
+    x = np.frombuffer(text, np.uint8)[:, None]
+    whole = net.positions(x, None)[0][:, :, 0].sum(axis=0) / len(text)
+    carried = sum(net.pooled(*w[:4]).sum(axis=0) for w in G.windows([text])) / len(text)
+    cut = sum(net.positions(x[i : i + G.SEGMENT], None)[0][:, :, 0].sum(axis=0) for i in range(0, len(text), G.SEGMENT)) / len(text)
+    assert np.abs(carried - whole).max() < 1e-4 < np.abs(cut - whole).max()
+
+
+def test_language_id_learns_every_label(spark):
+    """Rare labels are learned too, marks that are no letters make no language, repeated rows agree."""
+    rows = [(i, f"{chr(0x4E00 + k)}{chr(0x4E01 + k)} " * 60, f"l{k:02d}") for k in range(0, 140, 2) for i in (10 * k, 10 * k + 1, 10 * k + 3)]
+    docs = spark.createDataFrame(rows + rows[:2] + [(-1, "² ½ ¼ 12", None), (-2, "ªº", None)], "doc_id long, text string, lang string")
+    texts, names = G.sample(docs, id_col="doc_id", text_col="text", lang_col="lang", held_mod=4, held_rem=2)
+    assert len(set(names)) > 64 and all(len(t) == 420 for t in texts)
+    got = G.identify(docs, steps=2).collect()
+    assert len(got) == len(rows) + 4 and {r.lang_pred for r in got if r.doc_id == -1} == {"und"} and "und" not in {r.lang_pred for r in got if r.doc_id != -1}
+    assert len({(r.lang_pred, r.lang_score) for r in got if r.doc_id == 0}) == 1
+
+
 def test_language_id(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
     odd = spark.createDataFrame([(-1, None, "en"), (-2, "", "en"), (-3, "123 !?", None), (-4, "é" * 200_000, None), (None, "the of and", None)], docs.schema)

@@ -1,10 +1,13 @@
 """Language identification by a bidirectional gated recurrent network over bytes.
 
-Texts are cut into segments of ``SEGMENT`` bytes; a forward and a backward GRU
-read each segment, every byte position gets label probabilities from the two
-states, and a document's probabilities are the mean over all its positions.
-The network is trained in numpy by backpropagation through time on a bounded
-sample of labelled documents and broadcast (some tens of kilobytes).
+Texts are cut into segments of ``SEGMENT`` bytes. A forward GRU reads each
+segment and the ``CONTEXT`` bytes before it, a backward one the segment and
+the bytes after it, so that every position sees at least so far beyond either
+end of its segment; what is further away, a position does not see. Every byte
+position gets label probabilities from the two states, and a document's
+probabilities are the mean over all its positions. The network is trained in
+numpy by backpropagation through time on segments of the whole texts of a
+bounded number of labelled documents, and broadcast (some tens of kilobytes).
 
 Arrays are laid out with features first and segments last, so each time step
 is a few whole-array operations over thousands of segments.
@@ -12,22 +15,24 @@ is a few whole-array operations over thousands of segments.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import regex
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import ship
 from .common import crc_mod
 
 SEGMENT = 64
+#: Bytes that each direction reads before the first position it judges.
+CONTEXT = 32
 #: Segments that go through the network together.
 BATCH = 2048
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
 UNKNOWN = "und"
 
 
@@ -120,21 +125,31 @@ class Network:
         f = self.ahead.states(x, live, kept[0] if kept else None)
         r = self.back.states(x[::-1], None if live is None else live[::-1], kept[1] if kept else None)[::-1]
         s = np.concatenate([f, r], axis=1)
+        return self.readout(s), s
+
+    def readout(self, s: np.ndarray) -> np.ndarray:
+        """Label probabilities of states (L, 2H, B)."""
         p = np.matmul(self.v, s)
         p += self.b
         p -= p.max(axis=1, keepdims=True)
         np.exp(p, out=p)
         p /= p.sum(axis=1, keepdims=True)
-        return p, s
-
-    def pooled(self, x: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """Summed position probabilities (B, C) of segments x (B, L) with so many live bytes."""
-        live = None
-        if (lengths < x.shape[1]).any():
-            live = (np.arange(x.shape[1])[:, None] < lengths).astype(np.float32)
-        p, _ = self.positions(np.ascontiguousarray(x.T), live)
-        if live is not None:
-            p *= live[:, None]
+        return p
+
+    def pooled(self, x: np.ndarray, before: np.ndarray, lengths: np.ndarray, after: np.ndarray) -> np.ndarray:
+        """Summed position probabilities (B, C) of segments x (B, CONTEXT + L + CONTEXT).
+
+        So many bytes are live: ``before`` of the leading context, ``lengths``
+        of the segment, ``after`` of the trailing context.
+        """
+        length = x.shape[1] - 2 * CONTEXT
+        place = np.arange(x.shape[1])[:, None] - CONTEXT
+        live = (((place >= -before) & (place < 0)) | ((place >= 0) & (place < lengths)) | ((place >= length) & (place < length + after))).astype(np.float32)
+        xt, inner = np.ascontiguousarray(x.T), slice(CONTEXT, CONTEXT + length)
+        f = self.ahead.states(xt[: CONTEXT + length], live[: CONTEXT + length])[CONTEXT:]
+        r = self.back.states(xt[CONTEXT:][::-1], live[CONTEXT:][::-1])[CONTEXT:][::-1]
+        p = self.readout(np.concatenate([f, r], axis=1))
+        p *= live[inner, None]
         return p.sum(axis=0).T
 
     def parameters(self) -> dict[str, np.ndarray]:
@@ -167,6 +182,22 @@ def segments(texts: list[bytes], length: int = SEGMENT) -> tuple[np.ndarray, np.
     return x, np.minimum(length, sizes[owner] - nth * length), owner
 
 
+def windows(texts: list[bytes], length: int = SEGMENT, context: int = CONTEXT) -> Iterator[tuple[np.ndarray, ...]]:
+    """Segments of whole texts with their contexts, ``BATCH`` at a time: (x, before, lengths, after, text number)."""
+    sizes = np.array([len(t) for t in texts], np.int64)
+    counts = -(-sizes // length)
+    owner = np.repeat(np.arange(len(texts)), counts)
+    nth = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
+    pad = b"\0" * (context + length)
+    flat = np.frombuffer(pad + b"".join(texts) + pad, np.uint8)
+    start = np.repeat(np.cumsum(sizes) - sizes, counts) + nth * length
+    left = sizes[owner] - nth * length
+    for at in range(0, len(owner), BATCH):
+        part = slice(at, at + BATCH)
+        x = flat[start[part, None] + length + np.arange(context + length + context)]
+        yield x, np.minimum(context, nth[part] * length), np.minimum(length, left[part]), np.clip(left[part] - length, 0, context), owner[part]
+
+
 def train(texts: list[bytes], names: list[str], *, hidden: int = 6, steps: int = 150, batch: int = 256, rate: float = 0.02, seed: int = 7) -> Network | None:
     """Adam on random segments, as many of each label; None without labelled texts."""
     labels = sorted(set(names))
@@ -189,30 +220,25 @@ def train(texts: list[bytes], names: list[str], *, hidden: int = 6, steps: int =
     return net
 
 
-def sample(docs: DataFrame, *, id_col: str, text_col: str, lang_col: str, held_mod: int, held_rem: int, per_label: int = 240, window: int = 600, max_labels: int = 64) -> tuple[list[bytes], list[str]]:
-    """At most ``per_label`` labelled texts of each of the ``max_labels`` most frequent labels, a window of each.
+def sample(docs: DataFrame, *, id_col: str, text_col: str, lang_col: str, held_mod: int, held_rem: int, per_label: int = 240) -> tuple[list[bytes], list[str]]:
+    """The whole texts of at most ``per_label`` rows of each label.
 
-    The rows are those with the smallest hash of their id among training rows.
+    They are the training rows with the smallest hash of their id. Every label
+    is learned; the driver holds a row a label and the sampled texts.
     """
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & (crc_mod(id_col, held_mod) != held_rem))
-    counts = rows.groupBy(F.col(lang_col).alias("lang")).count().orderBy(F.desc("count"), "lang").limit(max_labels).collect()
+    counts = rows.groupBy(F.col(lang_col).alias("lang")).count().orderBy("lang").collect()
     if not counts:
         return [], []
     order = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit("language")), F.lit(1 << 30))
     bound = F.lit(0)
     for r in counts:
         bound = F.when(F.col(lang_col) == r.lang, F.lit(int(min(1.0, 2.0 * per_label / r["count"]) * (1 << 30)))).otherwise(bound)
-    start = 1 + F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.greatest(F.length(text_col) - window, F.lit(1)))
     near = rows.where((order < bound) & F.col(text_col).rlike(r"\p{L}"))
-    near = near.select(F.col(lang_col).alias("lang"), order.alias("o"), F.substring(F.col(text_col), start.cast("int"), F.lit(window)).alias("text"))
-    found = near.orderBy("o", "lang", "text").limit(4 * per_label * len(counts)).collect()
-    texts: list[bytes] = []
-    names: list[str] = []
-    for r in counts:
-        for x in [x for x in found if x.lang == r.lang and x.text][:per_label]:
-            texts.append(x.text.encode())
-            names.append(r.lang)
-    return texts, names
+    near = near.select(F.col(lang_col).alias("lang"), order.alias("o"), F.col(text_col).alias("text"))
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("o", "text"))
+    found = near.withColumn("nth", nth).where(F.col("nth") <= per_label).orderBy("lang", "nth").collect()
+    return [x.text.encode() for x in found], [x.lang for x in found]
 
 
 def predict(net: Network | None, texts: list[str | None]) -> list[tuple[str, float]]:
@@ -223,11 +249,9 @@ def predict(net: Network | None, texts: list[str | None]) -> list[tuple[str, flo
     known = [i for i, t in enumerate(texts) if t and LETTER.search(t)]
     if not known:
         return out
-    x, lengths, owner = segments([texts[i].encode() for i in known])
     sums = np.zeros((len(known), len(net.labels)))
-    for at in range(0, len(x), BATCH):
-        part = net.pooled(x[at : at + BATCH], lengths[at : at + BATCH])
-        np.add.at(sums, owner[at : at + BATCH], part)
+    for x, before, lengths, after, owner in windows([texts[i].encode() for i in known]):
+        np.add.at(sums, owner, net.pooled(x, before, lengths, after))
     sums /= sums.sum(axis=1, keepdims=True)
     for i, p in zip(known, sums, strict=True):
         out[i] = (net.labels[int(p.argmax())], float(min(1.0, p.max())))
@@ -264,8 +288,10 @@ def identify(
     The network learns from rows of ``learn_from`` (by default ``docs``) with a
     label and an id whose crc32 modulo ``held_mod`` is not ``held_rem``; ids,
     labels and other columns are not inputs of a prediction. Without any
-    labelled row everything is ``und`` with score 0. Repeated rows are judged
-    alike; columns of the two names are replaced.
+    labelled row everything is ``und`` with score 0, as are null texts and those
+    without a letter. Texts are read whole, however long; repeated rows are
+    judged alike, an empty table stays empty, and columns of the two names are
+    replaced.
     """
     spark = docs.sparkSession
     ship(spark)
