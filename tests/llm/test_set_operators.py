@@ -119,6 +119,35 @@ def test_nearest_neighbours_of_one_class(spark):
     assert N.search(equal.where("vec_id = 0"), every=50).count() == 0
 
 
+def test_nearest_neighbours_of_odd_rows(spark):
+    """Repeated ids are one candidate, other lengths take no part, extreme components have cosines."""
+    rows = [(50, [1.0, 0.0]), (7, [1.0, 0.1]), (7, [1.0, 0.2]), (7, [1.0, 0.2]), (8, [1.0, 0.3]), (9, [1e-200, 0.0]), (10, [0.0, 1e200]), (11, [1.0]), (12, [1.0, 0.0, 0.0]), (50, [1.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("rank", F.lit("clash")).withColumn("node", F.lit(1))
+    for _ in range(2):
+        got = N.search(df, every=50).orderBy("rank").collect()
+        assert [(r.query_id, r.vec_id) for r in got] == [(50, 9), (50, 7), (50, 8), (50, 10)]
+        assert got[0].score == pytest.approx(1) and got[3].score == pytest.approx(0, abs=1e-12)
+
+
+def test_nearest_neighbours_recall_on_the_table(spark):
+    """The registered search against brute force, on the whole table and with hubs that are split."""
+    df = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    rows = [(r.vec_id, r.embedding) for r in df.collect() if r.embedding is not None]
+    rows = [(i, np.asarray(v, np.float64)) for i, v in rows if all(x is not None and np.isfinite(x) for x in v) and any(v)]
+    ids, u = np.array([i for i, _ in rows]), np.stack([v / np.linalg.norm(v) for _, v in rows])
+    for options in ({}, {"fan": 50}):
+        hit = n = 0
+        got = {}
+        for r in N.search(df, every=50, **options).collect():
+            got.setdefault(r.query_id, set()).add(r.vec_id)
+        for q in np.flatnonzero(ids % 50 == 0):
+            s = u @ u[q]
+            s[q] = -2
+            best = sorted(range(len(ids)), key=lambda i: (-s[i], ids[i]))[:5]
+            hit, n = hit + len({int(ids[i]) for i in best} & got[ids[q]]), n + 5
+        assert hit >= 0.9 * n, options
+
+
 def brute_groups(rows, percent=85):
     words = M.Words()
     sets = {i: M.shingle_set(t.encode() if t is not None else None, words) for i, t in rows}
