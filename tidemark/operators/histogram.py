@@ -33,6 +33,14 @@ def count(h: Column) -> Column:
     return F.coalesce(h["count"], total(h["negative_counts"]) + total(h["positive_counts"]) + F.coalesce(h["zero_count"], lit(0)))
 
 
+def plain(out: Column, *hists: Column) -> Column:
+    """``out``, or an error where a histogram has custom buckets: of these only counts and sums are read."""
+    own = F.lit(False)
+    for h in hists:
+        own = own | (F.size(F.coalesce(h["custom_values"], F.array().cast("array<double>"))) > 0)
+    return F.when(own, F.raise_error(F.lit("histograms with custom buckets are not supported here"))).otherwise(out)
+
+
 def same_layout(a: Column, b: Column) -> Column:
     out = F.lit(True)
     for k in ("schema", "zero_threshold", "negative_spans", "positive_spans", "custom_values"):
@@ -42,7 +50,7 @@ def same_layout(a: Column, b: Column) -> Column:
 
 def _merge(a: Column, b: Column, f) -> Column:
     both = lambda k: F.zip_with(a[k], b[k], lambda x, y: f(x, y))
-    return with_fields(
+    out = with_fields(
         a,
         count=f(count(a), count(b)),
         sum=f(a["sum"], b["sum"]),
@@ -51,6 +59,7 @@ def _merge(a: Column, b: Column, f) -> Column:
         positive_counts=both("positive_counts"),
         reset_hint=F.when(a["reset_hint"] == b["reset_hint"], a["reset_hint"]).otherwise(F.lit("Unknown")),
     )
+    return plain(out, a, b)
 
 
 def add(a: Column, b: Column) -> Column:
@@ -63,7 +72,8 @@ def sub(a: Column, b: Column) -> Column:
 
 def scale(h: Column, by: Column) -> Column:
     each = lambda k: F.transform(h[k], lambda x: x * by)
-    return with_fields(h, count=count(h) * by, sum=h["sum"] * by, zero_count=F.coalesce(h["zero_count"], lit(0)) * by, negative_counts=each("negative_counts"), positive_counts=each("positive_counts"))
+    out = with_fields(h, count=count(h) * by, sum=h["sum"] * by, zero_count=F.coalesce(h["zero_count"], lit(0)) * by, negative_counts=each("negative_counts"), positive_counts=each("positive_counts"))
+    return plain(out, h)
 
 
 def was_reset(now: Column, before: Column) -> Column:
@@ -105,7 +115,7 @@ def buckets(h: Column) -> Column:
     down = F.zip_with(indexes(h["negative_spans"]), h["negative_counts"], lambda i, n: F.struct((-F.pow(g, i + lit(1))).alias("lo"), (-F.pow(g, i.cast("double"))).alias("hi"), n.alias("n")))
     middle = F.array(F.struct((-h["zero_threshold"]).alias("lo"), h["zero_threshold"].alias("hi"), F.coalesce(h["zero_count"], lit(0)).alias("n")))
     every = F.concat(F.coalesce(down, empty), middle, F.coalesce(up, empty))
-    return F.array_sort(F.filter(every, lambda b: b["n"] > 0))
+    return plain(F.array_sort(F.filter(every, lambda b: b["n"] > 0)), h)
 
 
 def quantile(h: Column, phi: Column) -> Column:

@@ -167,3 +167,57 @@ def scan_rows(df: DataFrame, start: int, end: int, *, limit: int, offset: int =
     return page.limit(limit), offset + limit if more else None
 
 
+@dataclass(frozen=True)
+class Page:
+    """Rows (metric, labels, ts, value) of a scan, whether more follow, and where they start."""
+
+    rows: DataFrame
+    truncated: bool
+    next_offset: int | None
+
+
+def _scan(df: DataFrame, order: list, limit: int, offset: int) -> Page:
+    page = paged(df, [*order, "ts", "seq"], limit + 1, offset).select("metric", "labels", "ts", "value")
+    more = page.count() > limit
+    return Page(page.limit(limit), more, offset + limit if more else None)
+
+
+def _bounded(series: DataFrame, max_series: int | None) -> None:
+    if max_series is not None and series.limit(max_series + 1).count() > max_series:
+        raise InvalidRequest(f"more than {max_series} series")
+
+
+def scan_series_rows(df: DataFrame, requests: list[tuple[str, dict[str, str]]], start: int, end: int, *, limit: int, offset: int = 0, max_series: int | None = None) -> Page:
+    """A page of the rows in [start, end) of the series asked for, in the order of the requests, then of time."""
+    if max_series is not None and len(requests) > max_series:
+        raise InvalidRequest(f"more than {max_series} series")
+    spark = df.sparkSession
+    seen: dict = {}
+    for metric, labels in requests:
+        seen.setdefault((metric, tuple(sorted(labels.items()))), len(seen))
+    asked = [(i, m, [list(x) for x in pairs]) for (m, pairs), i in seen.items()]
+    wanted = spark.createDataFrame(asked, "ordinal int, metric string, pairs array<array<string>>")
+    wanted = wanted.select("ordinal", "metric", F.transform("pairs", lambda x: F.struct(x[0].alias("name"), x[1].alias("value"))).cast(LABELS).alias("labels"))
+    return _scan(within(df, start, end).join(F.broadcast(wanted), ["metric", "labels"]), ["ordinal"], limit, offset)
+
+
+def scan_metric_rows(df: DataFrame, metric: str, start: int, end: int, *, limit: int, offset: int = 0, max_series: int | None = None) -> Page:
+    """A page of the rows in [start, end) of every series of a metric, by labels and time."""
+    own = within(df.where(F.col("metric") == metric), start, end)
+    _bounded(own.select("labels").distinct(), max_series)
+    return _scan(own, ["labels"], limit, offset)
+
+
+def scan_shard_window_rows(df: DataFrame, shards: int, shard: int, start: int, end: int, *, limit: int, offset: int = 0, max_series: int | None = None) -> Page:
+    """A page of the rows in [start, end) of a shard's series, by series and time."""
+    if not 0 <= shard < shards:
+        raise InvalidRequest("no such shard")
+    own = in_shards(within(df, start, end), shards, [shard])
+    _bounded(own.select("metric", "labels").distinct(), max_series)
+    return _scan(own, ["metric", "labels"], limit, offset)
+
+
+def select_into(buffer: list, df: DataFrame, metric: str, labels: dict[str, str] | None = None, start: int | None = None, end: int | None = None) -> int:
+    """Replaces a caller's list by the (ts, value) points of a series, and says how many. The points come to the driver."""
+    buffer[:] = [(r.ts, r.value) for r in select(df, metric, labels, start, end).collect()]
+    return len(buffer)

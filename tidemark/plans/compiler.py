@@ -12,6 +12,7 @@ at before they hand out the result.
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Callable
 
@@ -172,9 +173,11 @@ class _Run:
         self.guards.append((df.limit(1), message))
 
     def settle_guards(self) -> None:
-        for df, message in self.guards:
-            if df.count():
-                raise EvalError(message)
+        """One job looks at all guards."""
+        if self.guards:
+            found = [df.select(F.lit(message).alias("m")) for df, message in self.guards]
+            for row in functools.reduce(DataFrame.union, found).limit(1).collect():
+                raise EvalError(row.m)
 
     def no_hist(self, df: DataFrame, what: str) -> DataFrame:
         """Guards that no row holds a histogram, and drops the column's content."""
@@ -269,16 +272,23 @@ class _Run:
         if step <= 0:
             raise EvalError("a subquery step must be positive")
         m = back // step
-        # Inner times are anchored to each step's window, so windows fall into phases of one inner grid each.
-        phases: dict[int, list[int]] = {}
-        period = step // math.gcd(step, own.step) if own.n > 1 else 1
+        # Inner times are anchored to each step's window, so windows fall into phases of an inner grid. One grid
+        # that holds them all is read once; only where it would be many times as fine, each phase is its own.
+        begin = own.start - offset - back
+        fine = math.gcd(step, own.step) if own.n > 1 else step
+        period = step // fine if own.n > 1 else 1
+        phases: list[tuple[int, int, int]] = [(begin, own.last - offset - back + m * step, fine)]
+        apart = []
         for k in range(min(period, own.n)):
-            first = own.start + k * own.step - offset - back
             last_k = own.n - 1 - (own.n - 1 - k) % period
-            phases[first % step] = [first, own.start + last_k * own.step - offset - back + m * step]
+            apart.append((begin + k * own.step, begin + last_k * own.step + m * step, step))
+            if len(apart) > 64:
+                break
+        if len(apart) <= 64 and sum((z - a) // s + 1 for a, z, s in apart) * 8 < (phases[0][1] - begin) // fine + 1:
+            phases = apart
         parts: list[DataFrame] = []
-        for first, last in phases.values():
-            inner = Grid(first, step, (last - first) // step + 1)
+        for first, last, inner_step in phases:
+            inner = Grid(first, inner_step, (last - first) // inner_step + 1)
             v = self.eval(e.expr, inner)
             if isinstance(v, Scalar):
                 df = self.scalar_frame(v, inner).select(F.col("step_ts").alias("p_ts"), F.lit("").alias("metric"), F.array().cast(LABELS).alias("labels"), *self.scalar_payload())
@@ -489,6 +499,10 @@ class _Run:
             df = df.withColumn("_n", F.count(F.lit(1)).over(w)).withColumn("_r", F.row_number().over(w.orderBy(*order)))
             take = F.floor(F.col("_n") * F.abs("_k"))
             df = df.where(F.when(F.col("_k") > 0, F.col("_r") <= take).otherwise(F.col("_r") > F.col("_n") - take))
+        elif (const := self.eval(e.param, grid).const) is not None:
+            # with a literal, ranks past it end before the shuffle
+            k = 0 if math.isnan(const) or math.isinf(const) or const <= 0 else math.floor(min(const, 1e9))
+            df = df.withColumn("_r", F.row_number().over(w.orderBy(*order))).where(F.col("_r") <= F.lit(k))
         else:
             k = F.when(F.isnan("_k") | (F.abs("_k") == I.INF) | (F.col("_k") <= 0), F.lit(0)).otherwise(F.floor(F.least("_k", I.lit(1e9))))
             df = df.withColumn("_r", F.row_number().over(w.orderBy(*order))).where(F.col("_r") <= k)
