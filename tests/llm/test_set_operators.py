@@ -322,7 +322,7 @@ def test_line_signatures_read_every_line(spark):
     want = brute_lines(lines)
     assert want == {1, 4, 7, 10, 13, 16, 19}
     assert gone_lines(spark, lines) == want
-    assert gone_lines(spark, lines, broadcast_rows=0) == want
+    assert gone_lines(spark, lines, broadcast_bytes=0) == want
 
 
 @pytest.mark.parametrize("whole_bucket", [8, 2])
