@@ -11,6 +11,7 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 _shipped: set[str] = set()
+BATCH_BYTES = 8 << 20
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, **conf: str) -> SparkSession:
@@ -34,8 +35,12 @@ def ship(spark: SparkSession) -> None:
     """Send this package's sources to the Python workers, once for an application.
 
     Spark's file server carries the archive, so executors need neither this
-    folder nor a PYTHONPATH.
+    folder nor a PYTHONPATH. A session with Spark's own bound of 64 MB on an
+    Arrow batch gets ``BATCH_BYTES``: workers and the buffers that feed them
+    hold a few batches each.
     """
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") in ("67108864b", "67108864", "64MB"):
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     sc = spark.sparkContext
     if sc.applicationId in _shipped:
         return
