@@ -187,6 +187,9 @@ def test_near_duplicates_match_brute_force(spark, block):
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n", F.lit("clash")).withColumn("keys", F.lit(1))
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in M.near_duplicates(df, block=block).collect()}
     assert got == brute_groups(rows)
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(M, "BLOCK_BYTES", 20_000)
+        assert {r.doc_id: (r.n_shingles, r.component_id) for r in M.near_duplicates(df, block=block).collect()} == got
     twice = M.near_duplicates(df.union(df), block=block)
     assert twice.count() == 2 * len(rows) and twice.where("kept").select("doc_id").distinct().count() == len({c for _, c in got.values()})
 
@@ -211,6 +214,17 @@ def test_near_duplicates_in_large_buckets(spark):
     assert got == want
 
 
+def test_similar_in_parts(monkeypatch):
+    """Intersections counted a few entries at a time are those of plain sets."""
+    rng = random.Random(3)
+    sets = [np.unique(np.array([rng.randrange(40) for _ in range(rng.randint(1, 60))], np.uint64)) for _ in range(30)]
+    index = np.arange(len(sets))
+    want = {i: [j for j in index if 100 * len(set(sets[i]) & set(sets[j])) >= 50 * len(set(sets[i]) | set(sets[j]))] for i in index}
+    for hits in (1, 7, 1 << 20):
+        monkeypatch.setattr(M, "HITS", hits)
+        assert {i: near.tolist() for i, near in M.similar(sets, index, index, 50)} == want
+
+
 def test_near_duplicates_edges(spark):
     df = spark.createDataFrame([(None, "a b c d e f"), (2, "a b c d e f")], "doc_id long, text string")
     rows = {r.doc_id: r for r in M.near_duplicates(df).collect()}
