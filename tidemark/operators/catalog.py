@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..errors import InvalidRequest
 from ..model import LABELS, drop_labels, label, set_label
+from .select import Matcher
 
 # Fixed values.
 EXEMPLARS_PER_SERIES, EXEMPLARS_IN_ALL, EXEMPLAR_QUERY_LIMIT, EXEMPLAR_SELECTORS = 128, 50_000, 1000, 32
@@ -67,7 +68,7 @@ def query_exemplars(exemplars: DataFrame, engine, query: str, start: int, end: i
     for s in selectors:
         one = F.lit(True) if s.metric is None else F.col("metric") == s.metric
         for m in s.matchers:
-            one = one & engine.condition(m)
+            one = one & Matcher(m.name, m.op, m.value).column()
         wanted = wanted | one
     return exemplars.where(wanted & F.col("ts").between(start, end)).orderBy("metric", "labels", "ts").limit(limit)
 

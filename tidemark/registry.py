@@ -303,3 +303,5 @@ def _alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 add("alert_state", _alerts, _latest(f"SELECT 'busy' AS rule, event_type, {END - 2 * HOUR}::BIGINT AS active_since, true AS firing, CAST(count(*) AS DOUBLE) AS value FROM lv GROUP BY ALL"))
+
+from . import registry_more  # noqa: E402, F401  registers its queries here
