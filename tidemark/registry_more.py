@@ -9,13 +9,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .errors import InvalidRequest
 from .model import HIST, finish, label, labels_of
 from .operators import aggregations as A
 from .operators import catalog, select
+from .operators.ingest import SampleTable
 from .plans.compiler import Engine
 from .registry import _LATEST, CLICK, DAY, END, EV, FIRST, GAUGE, HI, HOUR, LINES, LO, R6, SIX, START, STEPS, USERS, WIN, ARR, add, flat, instant, ranged
 from .session import scratch
 from .sources import tables, text, wire
+from .streaming import rollups, rules
 
 BOTH = ("event_type", "user_id")
 _TYPED = f"WITH {EV} SELECT event_type, CAST(user_id AS VARCHAR) AS user_id, t AS ts, {R6('value')} AS value FROM ev"
@@ -316,3 +319,68 @@ def _snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 add("snapshot_restore", _snapshot, f"WITH {EV} SELECT event_type, t AS ts, {R6('value')} AS value FROM ev")
 add("query_points", lambda s, d: s.range(1).select(F.lit(catalog.range_points(START, END, DAY)).cast("long").alias("points")), f"SELECT CAST(({END} - {START}) // {DAY} + 1 AS BIGINT) AS points")
+
+
+# Writing: a table that takes batches.
+
+_WHOLE = f"WITH {EV} SELECT event_type, t AS ts, {R6('value')} AS value FROM ev"
+
+
+def _table(spark: SparkSession, **options) -> SampleTable:
+    return SampleTable(spark, scratch(spark, "samples"), **options)
+
+
+def _inserted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three batches, of which the last holds one row without a metric and so none of it counts."""
+    df, table = GAUGE(spark, sf_dir), _table(spark)
+    table.insert_rows(df.where(F.col("ts") < HI))
+    table.insert_rows(df.where(F.col("ts") >= HI))
+    try:
+        table.insert_rows(df.withColumn("metric", F.when(F.col("seq") == 7, "").otherwise(F.col("metric"))))
+    except InvalidRequest:
+        return flat(table.read(), "event_type")
+    raise AssertionError("a bad batch was accepted")
+
+
+add("insert_rows", _inserted, _WHOLE)
+
+
+def _tiered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = _table(spark)
+    table.insert_rows(GAUGE(spark, sf_dir))
+    bounds = {"hot_from": HI, "warm_from": LO}
+    table.age(**bounds)
+    return flat(table.read(LO + DAY, **bounds), "event_type")
+
+
+add("tiered_read", _tiered, _WHOLE + f" WHERE t >= {LO + DAY}")
+
+
+def _late(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A rollup that a late batch and a delete fall into, read through the rollup."""
+    df, policy = GAUGE(spark, sf_dir), rollups.Policy("late", "events_value", 6 * HOUR, "sum")
+    store = rollups.Store(spark, scratch(spark, "rollups"))
+    table = _table(spark, rollups=store, policies=(policy,))
+    table.insert_rows(df.where("seq % 3 != 0"))
+    store.run(table.read(), policy)
+    table.insert_rows(df.where("seq % 3 = 0"))
+    table.delete_series(select.select_series(df, "events_value", (select.Matcher("event_type", "=", "click"),)), LO + DAY, LO + 2 * DAY)
+    out, used = store.downsample(table.read(), [policy], "events_value", CLICK, LO, HI, 6 * HOUR, "sum")
+    assert used == policy.id
+    return out.withColumn("value", F.round("value", SIX))
+
+
+add("late_rollup", _late, f"WITH {EV} SELECT t // {6 * HOUR} * {6 * HOUR} AS ts, {R6('sum(value)')} AS value FROM ev WHERE event_type = 'click' AND t >= {LO} AND t < {HI} AND NOT (t >= {LO + DAY} AND t < {LO + 2 * DAY}) GROUP BY 1")
+
+
+def _rule_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    group = rules.Group("g", DAY, (rules.Recording("type:sum", "sum by (event_type) (events_value)"),))
+    table = _table(spark)
+    for at in (END - DAY, END):
+        rows, _, _ = rules.evaluate(Engine(USERS(spark, sf_dir), lookback_ms=DAY), group, at, spark.createDataFrame([], rules.STATE))
+        table.insert_rows(rows[0])
+    return flat(Engine(table.read(), lookback_ms=HOUR).range("type:sum", END - DAY, END, DAY), "event_type")
+
+
+_DAYS = f"WITH {EV}, d AS (SELECT s FROM (VALUES ({END - DAY}), ({END})) x(s)), lv AS (SELECT s, event_type, user_id, arg_max(value, (t, -event_id)) AS v FROM ev JOIN d ON t >= s - {DAY} AND t <= s GROUP BY ALL) "
+add("recording_rule_sink", _rule_sink, _DAYS + f"SELECT event_type, s AS ts, {R6('sum(v)')} AS value FROM lv GROUP BY ALL")
