@@ -88,3 +88,25 @@ def test_subquery_reads_its_samples_once(spark):
     got = {r.ts: r.value for r in plan.collect()}
     for at in range(2000, 3801, 60):
         assert [got[at]] == [r.value for r in engine.instant(query, at).collect()]
+
+
+def test_overlapping_windows_are_read_by_buckets(spark):
+    """Functions over overlapping windows give what they give at single steps, and repeat summaries instead of samples."""
+    import math
+    import random
+
+    rng = random.Random(7)
+    points = [(t, rng.choice([float("nan"), 0.0, 5.0]) if rng.random() < 0.1 else rng.random() * 10) for t in sorted(rng.sample(range(4000), 250))]
+    points += [(points[-1][0], 3.0)]
+    df = samples(spark, ("m", {"a": "1"}, points), ("m", {"a": "2"}, [(t, t % 500) for t in range(100, 4000, 70)])).coalesce(1).cache()
+    engine = Engine(df, units=1)
+    calls = ["avg", "sum", "min", "max", "count", "present", "last"]
+    for query in [f"{c}_over_time(m[300s] offset 40s)" for c in calls] + [f"{c}(m[450s])" for c in ("rate", "increase", "delta", "changes", "resets")]:
+        plan = engine.range(query, 900, 3600, 100)
+        assert "_b" in plan._jdf.queryExecution().analyzed().toString()
+        got = {(r.labels[0].value, r.ts): r.value for r in plan.collect()}
+        for at in (900, 1700, 2500, 3600):
+            want = {(r.labels[0].value, at): r.value for r in engine.instant(query, at).collect()}
+            assert {k for k in got if k[1] == at} == set(want)
+            for k, v in want.items():
+                assert got[k] == pytest.approx(v, nan_ok=True) or math.isinf(v) and got[k] == v, (query, k)

@@ -27,16 +27,19 @@ def ends(pts: Column) -> tuple[Column, Column]:
     return F.get(pts, F.lit(0)), F.element_at(pts, -1)
 
 
+def gain(prev: Column, v: Column) -> Column:
+    """What a counter gained from ``prev`` to ``v``; a fall is a reset to zero."""
+    return F.when((v >= prev) & ~F.isnan(v) & ~F.isnan(prev) | (v == INF), v - prev).otherwise(v)
+
+
 def increase(pts: Column) -> Column:
-    return steps(pts, lit(0), lambda a, prev, v: a + F.when((v >= prev) & ~F.isnan(v) & ~F.isnan(prev) | (v == INF), v - prev).otherwise(v))
+    return steps(pts, lit(0), lambda a, prev, v: a + gain(prev, v))
 
 
-def extrapolated(pts: Column, lo: Column, hi: Column, units: int, *, counter: bool, rate: bool) -> Column:
-    """Delta or counter increase stretched to the window's ends, per second for a rate."""
-    first, last = ends(pts)
+def stretched(first: Column, last: Column, n: Column, raw: Column, lo: Column, hi: Column, units: int, *, counter: bool, rate: bool) -> Column:
+    """A difference between two of ``n`` points, stretched to the window's ends; per second for a rate."""
     span = (last["ts"] - first["ts"]).cast("double")
-    raw = increase(pts) if counter else last["value"] - first["value"]
-    gap = span / F.when(F.size(pts) > 1, F.size(pts) - 1)
+    gap = span / F.when(n > 1, n - 1)
     before, after = (first["ts"] - lo).cast("double"), (hi - last["ts"]).cast("double")
     if counter:
         zero = span * fdiv(first["value"], raw)
@@ -46,7 +49,14 @@ def extrapolated(pts: Column, lo: Column, hi: Column, units: int, *, counter: bo
     if rate:
         window = (hi - lo).cast("double") / units
         out = out / F.when(window > 0, window)
-    return F.when((F.size(pts) > 1) & (span > 0), out)
+    return F.when((n > 1) & (span > 0), out)
+
+
+def extrapolated(pts: Column, lo: Column, hi: Column, units: int, *, counter: bool, rate: bool) -> Column:
+    """Delta or counter increase stretched to the window's ends, per second for a rate."""
+    first, last = ends(pts)
+    raw = increase(pts) if counter else last["value"] - first["value"]
+    return stretched(first, last, F.size(pts), raw, lo, hi, units, counter=counter, rate=rate)
 
 
 def irate(pts: Column, units: int) -> Column:
@@ -59,12 +69,36 @@ def idelta(pts: Column) -> Column:
     return F.when(F.size(pts) > 1, F.element_at(pts, -1)["value"] - F.get(pts, F.size(pts) - 2)["value"])
 
 
+def changed(prev: Column, v: Column) -> Column:
+    return F.when(fne(v, prev), 1.0).otherwise(0.0)
+
+
+def fell(prev: Column, v: Column) -> Column:
+    return F.when(flt(v, prev), 1.0).otherwise(0.0)
+
+
 def changes(pts: Column) -> Column:
-    return steps(pts, lit(0), lambda a, prev, v: a + F.when(fne(v, prev), 1.0).otherwise(0.0))
+    return steps(pts, lit(0), lambda a, prev, v: a + changed(prev, v))
 
 
 def resets(pts: Column) -> Column:
-    return steps(pts, lit(0), lambda a, prev, v: a + F.when(flt(v, prev), 1.0).otherwise(0.0))
+    return steps(pts, lit(0), lambda a, prev, v: a + fell(prev, v))
+
+
+def summary(pts: Column, pair) -> Column:
+    """(first, last, n, acc) of a bucket's points; ``acc`` sums ``pair`` over adjacent ones."""
+    first, last = ends(pts)
+    acc = steps(pts, lit(0), lambda a, prev, v: a + pair(prev, v))
+    return F.struct(first.alias("first"), last.alias("last"), F.size(pts).alias("n"), acc.alias("acc"))
+
+
+def joined(parts: Column, pair) -> Column:
+    """The summary of a window from those of its buckets in order."""
+    def step(s: Column, p: Column) -> Column:
+        acc = s["acc"] + p["acc"] + pair(s["last"]["value"], p["first"]["value"])
+        return F.struct(s["first"].alias("first"), p["last"].alias("last"), (s["n"] + p["n"]).alias("n"), acc.alias("acc"))
+
+    return F.aggregate(F.slice(parts, F.lit(2), F.size(parts)), F.get(parts, F.lit(0)), step)
 
 
 def total(v: Column) -> Column:

@@ -16,7 +16,7 @@ from ..model import LABELS, drop_labels, has_label, label, set_label
 from ..operators import histogram as H
 from ..operators import ranges as R
 from . import ast
-from .values import Grid, Range, Scalar, Text, Vector
+from .values import Buckets, Grid, Range, Scalar, Text, Vector
 
 ID = ["step_ts", "metric", "labels"]
 
@@ -98,6 +98,27 @@ COMBINING: dict[str, Callable[[], Column]] = {
 }
 
 
+#: The same in two stages: columns of a bucket, and a window's value from those of its buckets.
+STAGED: dict[str, tuple[Callable[[], dict[str, Column]], Callable[[], Column]]] = {
+    "avg_over_time": (lambda: {"s": F.sum("value"), "n": F.count(F.lit(1))}, lambda: F.sum("s") / F.sum("n")),
+    "sum_over_time": (lambda: {"s": F.sum("value")}, lambda: F.sum("s")),
+    "min_over_time": (lambda: {"s": F.min(_real())}, lambda: F.coalesce(F.min("s"), I.lit(I.INF))),
+    "max_over_time": (lambda: {"s": F.max(_real())}, lambda: F.coalesce(F.max("s"), I.lit(-I.INF))),
+    "count_over_time": (lambda: {"n": F.count(F.lit(1))}, lambda: F.sum("n").cast("double")),
+    "present_over_time": (lambda: {"n": F.max(I.lit(1))}, lambda: F.max("n")),
+    "last_over_time": (lambda: {"s": F.max_by("value", F.struct("p_ts", "seq"))}, lambda: F.max_by("s", "_b")),
+}
+
+#: Ordered functions that add up over adjacent points: what a pair adds, and a window's value from its summary.
+ADDING: dict[str, tuple[Callable, Callable[[Column, Column, Column, int], Column]]] = {
+    "rate": (R.gain, lambda w, lo, hi, u: R.stretched(w["first"], w["last"], w["n"], w["acc"], lo, hi, u, counter=True, rate=True)),
+    "increase": (R.gain, lambda w, lo, hi, u: R.stretched(w["first"], w["last"], w["n"], w["acc"], lo, hi, u, counter=True, rate=False)),
+    "delta": (lambda prev, v: v - prev, lambda w, lo, hi, u: R.stretched(w["first"], w["last"], w["n"], w["last"]["value"] - w["first"]["value"], lo, hi, u, counter=False, rate=False)),
+    "changes": (R.changed, lambda w, lo, hi, u: w["acc"]),
+    "resets": (R.fell, lambda w, lo, hi, u: w["acc"]),
+}
+
+
 class _Call:
     def __init__(self, run, e: ast.Call, grid: Grid):
         self.run, self.e, self.grid = run, e, grid
@@ -168,7 +189,27 @@ class _Call:
         raw = F.array_sort(F.collect_list(F.struct(F.col("p_ts").alias("ts"), "seq", "value")))
         return df.groupBy(*ID).agg(raw.alias("raw")).select(*ID, F.transform("raw", lambda p: F.struct(p["ts"].alias("ts"), p["value"].alias("value"))).alias("pts"))
 
+    def staged(self, b: Buckets) -> Vector:
+        """A combining function over overlapping windows: samples to buckets, buckets to steps."""
+        parts, value = STAGED[self.name]
+        df = b.spread(b.df.groupBy("metric", "labels", "_b").agg(*[c.alias(k) for k, c in parts().items()]))
+        return self.out(df.groupBy(*ID).agg(value().alias("value")))
+
+    def adding(self, b: Buckets) -> Vector:
+        """An adding function over overlapping windows: only a bucket's points, and a window's buckets, are put in order."""
+        pair, value = ADDING[self.name]
+        raw = F.array_sort(F.collect_list(F.struct(F.col("p_ts").alias("ts"), "seq", "value")))
+        points = F.transform("raw", lambda p: F.struct(p["ts"].alias("ts"), p["value"].alias("value")))
+        df = b.df.groupBy("metric", "labels", "_b").agg(raw.alias("raw")).select("metric", "labels", "_b", points.alias("pts"))
+        df = b.spread(df.select("metric", "labels", "_b", R.summary(F.col("pts"), pair).alias("part")))
+        df = df.groupBy(*ID).agg(F.array_sort(F.collect_list(F.struct("_b", "part"))).alias("parts"))
+        df = df.select(*ID, R.joined(F.transform("parts", lambda p: p["part"]), pair).alias("w"))
+        out = value(F.col("w"), b.lo(F.col("step_ts")), b.hi(F.col("step_ts")), self.run.units).cast("double")
+        return self.out(df.withColumn("value", out).where(F.col("value").isNotNull()))
+
     def ordered(self, f, i: int = 0) -> Vector:
+        if self.name in ADDING and (b := self.run.bucketed(self.e.args[i], self.grid)) is not None:
+            return self.adding(b)
         r = self.ranged(i)
         lo, hi = r.bounds(F.col("step_ts"))
         if self.run.hist and self.name in ("rate", "increase"):
@@ -214,6 +255,8 @@ def evaluate(run, e: ast.Call, grid: Grid):
         return _stamped(c, now)
     if n in COMBINING:
         c.count(1)
+        if (b := run.bucketed(e.args[0], grid)) is not None:
+            return c.staged(b)
         r = c.ranged(0)
         return c.out(run.no_hist(r.df, n).groupBy(*ID).agg(COMBINING[n]().alias("value")))
     if n in ORDERED:

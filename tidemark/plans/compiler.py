@@ -29,7 +29,7 @@ from ..operators import ranges as R
 from ..session import ship
 from . import ast
 from .parser import COMPARISONS, SET_OPS, parse
-from .values import Grid, Range, Scalar, Text, Vector
+from .values import Buckets, Grid, Range, Scalar, Text, Vector
 
 I64_MIN, I64_MAX = -(1 << 63), (1 << 63) - 1
 ID = ["step_ts", "metric", "labels"]
@@ -265,6 +265,30 @@ class _Run:
         hi = (lambda s: s - offset) if e.at is None else (lambda s: F.lit(clamp(own.start - offset)).cast("long"))
         return Range(self.over(df, e, grid, own), lambda s: hi(s) - back, hi)
 
+    def bucketed(self, e: ast.Expr, grid: Grid) -> Buckets | None:
+        """The samples of overlapping windows by buckets that each lie whole inside or outside of any window.
+
+        A sample is then met once, and what is repeated on the steps it serves
+        is a bucket's summary. None where windows do not overlap, or where such
+        buckets would be many a step.
+        """
+        if not isinstance(e, ast.Selector) or e.range_ms is None or e.at is not None or self.hist or grid.n == 1:
+            return None
+        offset, back = self.engine.to_units(e.offset_ms), self.engine.to_units(e.range_ms)
+        width = math.gcd(grid.step, back)
+        if back <= grid.step or width * 8 < grid.step:
+            return None
+        df = self.engine.matched(e.metric, e.matchers).where("not is_stale")
+        df = df.where((F.col("ts") > clamp(grid.start - offset - back)) & (F.col("ts") <= clamp(grid.last - offset)))
+        bucket = floor_div(F.col("ts") + F.lit(offset - grid.start + width - 1), width)
+        rows = df.select("metric", "labels", F.col("ts").alias("p_ts"), "seq", "value", bucket.alias("_b"))
+
+        def spread(parts: DataFrame) -> DataFrame:
+            low = floor_div(F.col("_b") * width + F.lit(grid.step - 1), grid.step)
+            return self.spread(parts, low, floor_div((F.col("_b") - 1) * width + F.lit(back), grid.step), grid)
+
+        return Buckets(rows, spread, lambda s: s - offset - back, lambda s: s - offset)
+
     def subquery(self, e: ast.Subquery, grid: Grid) -> Range:
         own, offset = self.times(e, grid)
         back = self.engine.to_units(e.range_ms)

@@ -48,6 +48,16 @@ class Range:
         return self.lo(step), self.hi(step)
 
 
+@dataclass
+class Buckets:
+    """Rows (metric, labels, _b, p_ts, seq, value) of a range vector, each once; ``spread`` repeats rows by ``_b`` on the steps they serve."""
+
+    df: DataFrame
+    spread: Any
+    lo: Any
+    hi: Any
+
+
 @dataclass
 class Text:
     value: str

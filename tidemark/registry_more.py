@@ -15,7 +15,7 @@ from .operators import aggregations as A
 from .operators import catalog, select
 from .operators.ingest import SampleTable
 from .plans.compiler import Engine
-from .registry import _LATEST, CLICK, DAY, END, EV, FIRST, GAUGE, HI, HOUR, LINES, LO, R6, SIX, START, STEPS, USERS, WIN, ARR, add, flat, instant, ranged
+from .registry import _LATEST, CLICK, DAY, END, EV, FIRST, GAUGE, HI, HOUR, LINES, LO, R6, SIX, START, STEPS, USERS, WIN, ARR, _extrapolated, add, flat, instant, ranged
 from .session import scratch
 from .sources import tables, text, wire
 from .streaming import rollups, rules
@@ -384,3 +384,14 @@ def _rule_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _DAYS = f"WITH {EV}, d AS (SELECT s FROM (VALUES ({END - DAY}), ({END})) x(s)), lv AS (SELECT s, event_type, user_id, arg_max(value, (t, -event_id)) AS v FROM ev JOIN d ON t >= s - {DAY} AND t <= s GROUP BY ALL) "
 add("recording_rule_sink", _rule_sink, _DAYS + f"SELECT event_type, s AS ts, {R6('sum(v)')} AS value FROM lv GROUP BY ALL")
+
+# Overlapping windows: two days, once a day.
+
+_TWO = WIN.replace(f"6 * {HOUR}", f"2 * {DAY}")
+for _name, _sql in {"avg": "list_avg(v)", "min": "list_min(v)", "max": "list_max(v)", "sum": "list_sum(v)", "count": "CAST(n AS DOUBLE)", "last": "v[-1]"}.items():
+    add(f"overlapping_{_name}_over_time", ranged(GAUGE, f"{_name}_over_time(events_value[2d])", "event_type"), f"WITH {EV}, {STEPS}, {_TWO}, {ARR} SELECT event_type, s AS ts, {R6(_sql)} AS value FROM a")
+add("overlapping_rate", ranged(tables.events_total, "rate(events_total[2d])", "event_type"), _extrapolated(f"inc / {2 * DAY / 1000}", 2 * DAY))
+add("overlapping_delta", ranged(tables.events_total, "delta(events_total[2d])", "event_type"), _extrapolated("inc", 2 * DAY, counter=False))
+_ADJACENT = "list_zip(v[:-2], v[2:])"
+add("overlapping_changes", ranged(GAUGE, "changes(events_value[2d])", "event_type"), f"WITH {EV}, {STEPS}, {_TWO}, {ARR} SELECT event_type, s AS ts, CAST(len(list_filter({_ADJACENT}, lambda x: x[1] <> x[2])) AS DOUBLE) AS value FROM a")
+add("overlapping_resets", ranged(GAUGE, "resets(events_value[2d])", "event_type"), f"WITH {EV}, {STEPS}, {_TWO}, {ARR} SELECT event_type, s AS ts, CAST(len(list_filter({_ADJACENT}, lambda x: x[2] < x[1])) AS DOUBLE) AS value FROM a")
