@@ -64,6 +64,19 @@ def test_decontamination_in_blocks_and_empty(spark):
     assert [r.doc_id for r in D.drop_contaminated(docs, items.where("item_id < 2")).collect()] == [2]
 
 
+def test_decontamination_of_common_pairs():
+    """Thousands of windows that end alike are one bucket, and give what brute force gives; tables stay small."""
+    rng = random.Random(8)
+    item = " ".join(f"w{rng.randrange(3000)} of the" for _ in range(2000))
+    names, numbers, matchers = D.build([("a", item.encode()), ("b", item[4000:9000].encode()), ("c", b"of the")], 13)
+    assert max(hi - lo for lo, hi in matchers[0].buckets.values()) > 1500
+    own = item.split()
+    text = own[100:140] + ["x", "of", "the"] + own[1500:1512] + ["y"]
+    spans, found = D.hits([w.encode() for w in text], names, numbers, matchers)
+    n, hit, items = brute_hits(" ".join(text), [("a", " ".join(own[80:160])), ("b", item[4000:9000]), ("c", "of the")])
+    assert sum(b - a for a, b in spans) == hit and found == set(items)
+
+
 def test_urls(spark):
     rows = [
         (1, "http://A.net/x"), (2, "https://sub.example.net/en/1?q"), (3, "https://example.com/de/"), (4, "http://x.org/fr/a"), (5, "http://a.net"),
