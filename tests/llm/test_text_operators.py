@@ -107,6 +107,20 @@ def test_reputation_shrinks(spark):
     assert ("bad.example", "block") in verdicts and ("new.good.test", "allow") in verdicts and ("h3.good.test", "allow") in verdicts
 
 
+def test_hosts_without_labels(spark):
+    """Such a host is judged by its domain, else its suffix, else the whole; registries' labels and addresses are no domains."""
+    rows = [(i, f"http://h{i % 6}.bad.co.uk/") for i in range(120)] + [(200 + i, f"http://s{i % 9}.fine.co.uk/") for i in range(120)] + [(400 + i, f"http://10.1.2.{i % 4}:80/") for i in range(80)]
+    rows += [(900, "http://new.bad.co.uk/"), (901, "http://new.fine.co.uk/"), (902, "http://other.co.uk/"), (903, "http://10.1.2.9/"), (904, None), (905, "http://[::1]:8080/x")]
+    labels = [(i, 0) for i in range(120)] + [(200 + i, 1) for i in range(120)] + [(400 + i, i % 4 // 3) for i in range(80)]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    got = {r.page_id: r for r in U.judge(pages, spark.createDataFrame(labels, "doc_id long, quality int")).collect()}
+    assert got[900].verdict == "block" and got[901].verdict == "allow" and got[902].verdict == "allow"
+    assert got[400].verdict == "block" and got[403].verdict == "allow" and all(got[i].bound is not None for i in (903, 904, 905))
+    assert U.judge(pages.where("false"), spark.createDataFrame(labels, "doc_id long, quality int")).count() == 0
+    hosts = spark.createDataFrame([("a.b.co.uk:80",), ("co.uk",), ("x.com",), ("1.2.3.4",), ("[::1]",), ("",)], "h string")
+    assert [tuple(r) for r in hosts.select(U.domain_of(F.col("h")), U.suffix_of(F.col("h"))).collect()] == [("b.co.uk", "co.uk"), ("co.uk", "uk"), ("x.com", "com"), ("1.2.3.4", ""), ("[::1]", ""), ("", "")]
+
+
 def brute_pieces(word, vocabulary):
     n = i = 0
     while i < len(word):

@@ -101,6 +101,22 @@ _BELOW = "greatest(nr2 / n - (good / n) * (good / n) - (good / n) * (1 - good /
 _KAPPA = f"CASE WHEN {_BELOW} > 0 AND (good / n) * (1 - good / n) > 0 THEN least(greatest((good / n) * (1 - good / n) / {_BELOW} - 1, 2), 50) ELSE 50 END"
 
 
+_BARE = "regexp_replace({h}, ':[0-9]*$', '')"
+_SECOND = f"regexp_extract({_BARE}, '{url_filter._SECOND.replace('(?:', '(')}', 1) <> ''"
+_ADDRESS = f"regexp_matches({_BARE}, '{url_filter._ADDRESS}')"
+_PART = f"array_to_string(string_split({_BARE}, '.')[-{{n}}:], '.')"
+
+
+def _domain(h: str) -> str:
+    b = lambda x, **more: x.replace("{h}", h).replace("{n}", str(more.get("n")))
+    return f"CASE WHEN {b(_ADDRESS)} THEN {b(_BARE)} WHEN {b(_SECOND)} THEN {b(_PART, n=3)} ELSE {b(_PART, n=2)} END"
+
+
+def _suffix(h: str) -> str:
+    b = lambda x, **more: x.replace("{h}", h).replace("{n}", str(more.get("n")))
+    return f"CASE WHEN {b(_ADDRESS)} THEN '' WHEN {b(_SECOND)} THEN {b(_PART, n=2)} ELSE {b(_PART, n=1)} END"
+
+
 def _rules() -> tuple[str, str]:
     rule, verdict = "NULL", "NULL"
     for what, text in sorted(url_filter.RULES, key=lambda r: (len(r[1]), r[1])):
@@ -126,8 +142,8 @@ coalesce(n_hit, 0) > 0 AND 20 * n_hit >= len(w) AS contaminated FROM d LEFT JOIN
 WITH u AS (SELECT page_id, CASE WHEN contains(coalesce(url, ''), '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
 p AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), {_AZ}) AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
 marked AS (SELECT host, quality = 1 AS good FROM p JOIN labels ON doc_id = page_id WHERE quality IS NOT NULL),
-h AS (SELECT host, array_to_string(string_split(regexp_replace(host, ':[0-9]*$', ''), '.')[-2:], '.') AS domain, string_split(regexp_replace(host, ':[0-9]*$', ''), '.')[-1] AS suffix, CAST(count(*) AS DOUBLE) AS n, CAST(sum(CAST(good AS INT)) AS DOUBLE) AS good FROM marked GROUP BY 1),
-dm AS (SELECT domain, string_split(domain, '.')[-1] AS suffix, sum(n) AS n, sum(good) AS good, count(*) AS k, sum(n * (good / n) * (good / n)) AS nr2 FROM h GROUP BY 1),
+h AS (SELECT host, {_domain("host")} AS domain, {_suffix("host")} AS suffix, CAST(count(*) AS DOUBLE) AS n, CAST(sum(CAST(good AS INT)) AS DOUBLE) AS good FROM marked GROUP BY 1),
+dm AS (SELECT domain, {_suffix("domain")} AS suffix, sum(n) AS n, sum(good) AS good, count(*) AS k, sum(n * (good / n) * (good / n)) AS nr2 FROM h GROUP BY 1),
 dk AS (SELECT *, {_KAPPA} AS kappa FROM dm),
 sm AS (SELECT suffix, sum(n) AS n, sum(good) AS good, count(*) AS k, sum(n * (good / n) * (good / n)) AS nr2 FROM dk GROUP BY 1),
 sk AS (SELECT *, {_KAPPA} AS kappa FROM sm),
@@ -135,7 +151,9 @@ am AS (SELECT sum(n) AS n, sum(good) AS good, count(*) AS k, sum(n * (good / n)
 ak AS (SELECT good / n AS mean0, {_KAPPA} AS kappa0 FROM am),
 s1 AS (SELECT suffix, (good + kappa0 * mean0) / (n + kappa0) AS mean1, kappa AS kappa1 FROM sk, ak),
 d1 AS (SELECT domain, (good + kappa1 * mean1) / (n + kappa1) AS mean2, kappa AS kappa2 FROM dk JOIN s1 USING (suffix)),
-post AS (SELECT host, good + kappa2 * mean2 AS a, n - good + kappa2 * (1 - mean2) AS b FROM h JOIN d1 USING (domain)),
+al AS (SELECT host, {_domain("host")} AS domain, {_suffix("host")} AS suffix FROM (SELECT DISTINCT host FROM p)),
+pr AS (SELECT al.host, coalesce(h.good, 0) AS g, coalesce(h.n - h.good, 0) AS f, coalesce(mean2, mean1, mean0) AS m, coalesce(kappa2, kappa1, kappa0) AS c FROM al LEFT JOIN h USING (host) LEFT JOIN d1 ON d1.domain = al.domain LEFT JOIN s1 ON s1.suffix = al.suffix, ak),
+post AS (SELECT host, g + c * m AS a, f + c * (1 - m) AS b FROM pr),
 bound AS (SELECT host, least(a / (a + b) + 1.645 * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))), 1.0) AS bound FROM post)
 SELECT page_id, host, path, {_rules()[0]} AS rule, coalesce({_rules()[1]}, CASE WHEN bound < 0.5 THEN 'block' ELSE 'allow' END) AS verdict FROM p LEFT JOIN bound USING (host)""",
     "op4_mixing": f"""
