@@ -145,6 +145,13 @@ def test_token_counts_match_greedy_search(spark, tmp_path):
     assert got[len(texts) - 1][0] == 1 and None in got
 
 
+def test_token_counts_of_repeats_and_nothing(spark):
+    docs = spark.createDataFrame([("a", "one two", 1), ("a", "one two", 1), ("b", None, None)], "doc_id string, text string, n_words int")
+    got = sorted((r.doc_id, r.n_words) for r in T.count_tokens(docs).collect())
+    assert got == [("a", 2), ("a", 2), ("b", 0)]
+    assert T.count_tokens(docs.where("false")).count() == 0
+
+
 def test_token_automaton_without_single_bytes():
     rng = random.Random(2)
     for _ in range(2000):

@@ -327,7 +327,8 @@ def near_duplicates(
     texts and texts without words have an empty set, link with nothing and are
     kept; so are rows with a null id, which are never linked. Repeated rows each
     get the same result. Ids name documents: if one id has several texts, one
-    of them stands for it.
+    of them stands for it. An empty table gives none, texts are read whole, and
+    other columns are not read.
     """
     spark = docs.sparkSession
     ship(spark)

@@ -166,7 +166,8 @@ def count_tokens(docs: DataFrame, *, vocabulary: str = DEFAULT_VOCABULARY, id_co
     """(``id_col``, n_words, n_tokens) for every row of ``docs``, of any id type.
 
     Words are runs of anything but ASCII white space. Null and empty texts
-    have no words and no tokens; repeated rows each get a row. The driver
+    have no words and no tokens; repeated rows each get a row, an empty table
+    gives none, texts are read whole, and other columns are not read. The driver
     reads the vocabulary file once (its automaton, bounded by the file, is
     broadcast), so executors need no copy.
     """
