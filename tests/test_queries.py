@@ -21,6 +21,7 @@ def values(engine, query, at):
     return [v for _, v in run(engine, query, at)]
 
 
+# Queries and expected numbers are the published cases of the dialect.
 GET = 'http_requests_total{method="GET"}'
 
 

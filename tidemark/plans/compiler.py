@@ -127,7 +127,8 @@ class Engine:
             own = sorted({(m.name, m.value) for m in matchers})
             if len({n for n, _ in own}) == len(own):
                 want = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(v).alias("value")) for n, v in own]).cast(LABELS)
-                table = (self.series if self.series is not None else self.samples).where(F.col("metric") == metric)
+                # labels kept as columns make this a pushed filter too, so no more than the matching rows are looked through
+                table = self.series.where(F.col("metric") == metric) if self.series is not None else self._filtered(df, matchers)
                 if table.where(F.col("labels") == want).limit(1).count():
                     return self._filtered(df, matchers).where(F.col("labels") == want)
         return self._filtered(df, matchers)
