@@ -3,6 +3,11 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes
 what a stage returns to the shared folder and gives it to the next. All stages
 but the last return the columns of ``documents``.
+
+Rows of any shape pass: null and empty texts have no language and go at the
+first stage (alone, the stages after it keep them, and the mixture, which
+takes tokens, does not); repeated rows are judged alike; an empty table stays
+empty; texts are read whole; columns other than those of ``documents`` go.
 """
 
 from __future__ import annotations
@@ -11,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import decontaminate, langid, line_dedup, minhash, mixing
-from tidemark.llm.common import settle, table
+from tidemark.llm.common import discard, settle, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -59,5 +64,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = settle(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
+        before, docs = docs, settle(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
+        discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)
