@@ -110,3 +110,39 @@ def test_overlapping_windows_are_read_by_buckets(spark):
             assert {k for k in got if k[1] == at} == set(want)
             for k, v in want.items():
                 assert got[k] == pytest.approx(v, nan_ok=True) or math.isinf(v) and got[k] == v, (query, k)
+
+
+def test_migration_stops_at_differences(spark, tmp_path):
+    from tidemark.sources import captures
+
+    source = samples(spark, ("m", {"a": "1"}, [(t, t) for t in range(10)]))
+    move = captures.Migration(source, SampleTable(spark, f"file://{tmp_path}/t"))
+    assert move.backfill(0, 6, 3) == 2 and move.backfill(0, 6, 3) == 0
+    assert move.differences(0, 6).count() == 0 and move.differences(0, 10).count() == 4
+    with pytest.raises(InvalidRequest, match="not the same"):
+        move.cutover(0, 10)
+    assert move.backfill(0, 10, 4) == 2 and move.cutover(0, 10).read().count() == 10
+
+
+def test_captures_of_nothing(spark, tmp_path):
+    from tidemark.sources import captures
+
+    (tmp_path / "c.json").write_text('[{"received_at_ms": 5, "body": null}, {"received_at_ms": 7, "query_params": {"precision": "s"}, "body": "m v=1 2\\n\\nm v=2"}]')
+    got = captures.read_capture(spark, f"file://{tmp_path}/c.json", "measurement").collect()
+    assert sorted((r.metric, r.ts, r.value) for r in got) == [("m_v", 7, 2.0), ("m_v", 2000, 1.0)]
+    assert captures.read_capture(spark, f"file://{tmp_path}/c.json", "measurement").count() == 2
+    with pytest.raises(InvalidRequest):
+        captures.read_capture(spark, f"file://{tmp_path}/c.json", "carbon")
+
+
+def test_scheduler_runs_a_time_once(spark, tmp_path):
+    from tidemark.streaming import rules
+    from tidemark.streaming.scheduler import Scheduler
+
+    table = SampleTable(spark, f"file://{tmp_path}/t")
+    table.insert_rows(samples(spark, ("m", {"a": "1"}, [(60, 1), (120, 2)])))
+    group = rules.Group("g", 60, (rules.Recording("r", "sum(m)"), rules.Alert("hot", "m > 1", for_=0)))
+    run = Scheduler(table, (group,), f"file://{tmp_path}/s", units=1)
+    assert [run.tick(t) for t in (60, 90, 125)] == [1, 0, 1]
+    assert sorted((r.ts, r.value) for r in table.read().where("metric = 'r'").collect()) == [(60, 1.0), (120, 2.0)]
+    assert [(r.rule, r.firing) for r in run.state(group).collect()] == [("hot", True)]

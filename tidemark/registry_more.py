@@ -17,8 +17,9 @@ from .operators.ingest import SampleTable
 from .plans.compiler import Engine
 from .registry import _LATEST, CLICK, DAY, END, EV, FIRST, GAUGE, HI, HOUR, LINES, LO, R6, SIX, START, STEPS, USERS, WIN, ARR, _extrapolated, add, flat, instant, ranged
 from .session import scratch
-from .sources import tables, text, wire
+from .sources import captures, tables, text, wire
 from .streaming import rollups, rules
+from .streaming.scheduler import Scheduler
 
 BOTH = ("event_type", "user_id")
 _TYPED = f"WITH {EV} SELECT event_type, CAST(user_id AS VARCHAR) AS user_id, t AS ts, {R6('value')} AS value FROM ev"
@@ -395,3 +396,64 @@ add("overlapping_delta", ranged(tables.events_total, "delta(events_total[2d])",
 _ADJACENT = "list_zip(v[:-2], v[2:])"
 add("overlapping_changes", ranged(GAUGE, "changes(events_value[2d])", "event_type"), f"WITH {EV}, {STEPS}, {_TWO}, {ARR} SELECT event_type, s AS ts, CAST(len(list_filter({_ADJACENT}, lambda x: x[1] <> x[2])) AS DOUBLE) AS value FROM a")
 add("overlapping_resets", ranged(GAUGE, "resets(events_value[2d])", "event_type"), f"WITH {EV}, {STEPS}, {_TWO}, {ARR} SELECT event_type, s AS ts, CAST(len(list_filter({_ADJACENT}, lambda x: x[2] < x[1])) AS DOUBLE) AS value FROM a")
+
+
+# Migration and schedules.
+
+
+def _captured(spark: SparkSession, sf_dir: str, form: str, line: str) -> DataFrame:
+    """Bodies of the events of each user, written as a capture and read back."""
+    lines = _lines(spark, sf_dir, line).withColumn("user", F.col("seq") % 40)
+    bodies = lines.groupBy("user").agg(F.concat_ws("\n", F.transform(F.array_sort(F.collect_list(F.struct("seq", "value"))), lambda x: x["value"])).alias("body"))
+    record = F.struct((F.lit(START) + F.col("user")).alias("received_at_ms"), F.struct(F.lit("db").alias("db"), F.lit("ms").alias("precision")).alias("query_params"), "body")
+    path = scratch(spark, "capture")
+    # a capture is one array a file
+    files = bodies.groupBy((F.col("user") % 4).alias("file")).agg(F.to_json(F.collect_list(record)).alias("value"))
+    files.repartition("file").write.partitionBy("file").text(path)
+    return captures.read_capture(spark, path, form)
+
+
+add(
+    "capture_line_protocol",
+    lambda s, d: flat(_captured(s, d, "measurement", "concat('events,event_type=', event_type, ' value=', v, if(event_id % 2 = 0, concat(' ', ts), ''))"), "event_type"),
+    f"WITH {EV} SELECT event_type, CASE WHEN event_id % 2 = 0 THEN t ELSE {START} + event_id % 40 END AS ts, {R6('value')} AS value FROM ev",
+)
+add(
+    "capture_graphite",
+    lambda s, d: flat(_captured(s, d, "graphite", "concat('events;event_type=', event_type, ' ', v, ' ', ts div 1000)"), "event_type"),
+    f"WITH {EV} SELECT event_type, t // 1000 * 1000 AS ts, {R6('value')} AS value FROM ev",
+)
+add(
+    "capture_statsd",
+    lambda s, d: flat(_captured(s, d, "statsd", "concat('hits:', event_id % 7, '|c|#event_type:', event_type)"), "event_type"),
+    f"WITH {EV} SELECT event_type, {START} + event_id % 40 AS ts, CAST(event_id % 7 AS DOUBLE) AS value FROM ev",
+)
+
+
+def _migrated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hourly sums moved to a table in ten-day windows, one of them twice, and read after the cutover."""
+    source = A.downsample(GAUGE(spark, sf_dir), HOUR, "sum", origin=0)
+    move = captures.Migration(source, _table(spark))
+    move.backfill(START, START + 10 * DAY, 10 * DAY)
+    move.backfill(START, END + DAY, 10 * DAY)
+    return flat(move.cutover(START, END + DAY).read(), "event_type")
+
+
+add("migration_cutover", _migrated, f"WITH {EV} SELECT event_type, t // {HOUR} * {HOUR} AS ts, {R6('sum(value)')} AS value FROM ev GROUP BY ALL")
+
+
+def _scheduled(spark: SparkSession, sf_dir: str, what: str) -> DataFrame:
+    table = _table(spark)
+    table.insert_rows(USERS(spark, sf_dir))
+    recording = rules.Group("record", DAY, (rules.Recording("type:sum", "sum by (event_type) (events_value)"),))
+    alerting = rules.Group("alerts", HOUR, (rules.Alert("busy", "count by (event_type) (events_value) > 0", for_=2 * HOUR),))
+    run = Scheduler(table, (recording, alerting), scratch(spark, "rules"), lookback_ms=DAY)
+    for now in (END - DAY, END - 2 * HOUR, END - 2 * HOUR + 60_000, END):
+        run.tick(now)
+    if what == "alerts":
+        return run.state(alerting).select("rule", label(F.col("labels"), "event_type").alias("event_type"), "firing", "value")
+    return flat(table.read().where("metric = 'type:sum'"), "event_type")
+
+
+add("scheduled_recordings", lambda s, d: _scheduled(s, d, "rows"), _DAYS + f"SELECT event_type, s AS ts, {R6('sum(v)')} AS value FROM lv GROUP BY ALL")
+add("scheduled_alerts", lambda s, d: _scheduled(s, d, "alerts"), _latest("SELECT 'busy' AS rule, event_type, true AS firing, CAST(count(*) AS DOUBLE) AS value FROM lv GROUP BY ALL"))
