@@ -15,7 +15,7 @@ from .operators import aggregations as A
 from .operators import catalog, select
 from .operators.ingest import SampleTable
 from .plans.compiler import Engine
-from .registry import _LATEST, CLICK, DAY, END, EV, FIRST, GAUGE, HI, HOUR, LINES, LO, R6, SIX, START, STEPS, USERS, WIN, ARR, _extrapolated, add, flat, instant, ranged
+from .registry import _LATEST, CLICK, DAY, END, EV, FIRST, GAUGE, HI, HOUR, LINES, LO, ORACLES, R6, SIX, START, STEPS, USERS, WIN, ARR, _extrapolated, add, flat, instant, ranged
 from .session import scratch
 from .sources import captures, tables, text, wire
 from .streaming import rollups, rules
@@ -457,3 +457,39 @@ def _scheduled(spark: SparkSession, sf_dir: str, what: str) -> DataFrame:
 
 add("scheduled_recordings", lambda s, d: _scheduled(s, d, "rows"), _DAYS + f"SELECT event_type, s AS ts, {R6('sum(v)')} AS value FROM lv GROUP BY ALL")
 add("scheduled_alerts", lambda s, d: _scheduled(s, d, "alerts"), _latest("SELECT 'busy' AS rule, event_type, true AS firing, CAST(count(*) AS DOUBLE) AS value FROM lv GROUP BY ALL"))
+
+
+# The hash-ordered choices: XXH64 (seed 0) of a series' identity in 128-bit arithmetic. Its five primes.
+
+P1, P2, P3, P4, P5 = (f"{p}::UHUGEINT" for p in (11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261))
+_M = f"{1 << 64}::UHUGEINT"
+
+
+def _rotated(x: str, r: int) -> str:
+    return f"(({x}) * {1 << r}::UHUGEINT % {_M} + ({x}) // {1 << (64 - r)}::UHUGEINT)"
+
+
+#: Series ``e{{u="..."}}`` with fewer than eight characters in u: eight bytes, then at most one of four, then single ones.
+_XXH = f"""u AS (SELECT DISTINCT CAST(user_id AS VARCHAR) AS u FROM events),
+x0 AS (SELECT u, CAST(len(u) AS UHUGEINT) AS n, list_transform(string_split(u, ''), lambda c: CAST(ascii(c) AS UHUGEINT)) AS b FROM u),
+x1 AS (SELECT *, ({1 + (101 << 16) + (1 << 24) + (117 << 40)}::UHUGEINT + n * {1 << 48}::UHUGEINT) * {P2} % {_M} AS k FROM x0),
+x2 AS (SELECT u, n, b, xor(({P5} + 8::UHUGEINT + n) % {_M}, {_rotated("k", 31)} * {P1} % {_M}) AS h FROM x1),
+x3 AS (SELECT u, n, b, ({_rotated("h", 27)} * {P1} % {_M} + {P4}) % {_M} AS h FROM x2),
+x4 AS (SELECT u, n, b, CASE WHEN n >= 4 THEN xor(h, (b[1] + b[2] * 256::UHUGEINT + b[3] * 65536::UHUGEINT + b[4] * 16777216::UHUGEINT) * {P1} % {_M}) ELSE h END AS h FROM x3),
+x5 AS (SELECT u, CASE WHEN n >= 4 THEN b[5:] ELSE b END AS b, CASE WHEN n >= 4 THEN ({_rotated("h", 23)} * {P2} % {_M} + {P3}) % {_M} ELSE h END AS h FROM x4),
+x6 AS (SELECT u, list_reduce(list_prepend(h, b), lambda a, c: {_rotated(f"xor(a, c * {P5} % {_M})", 11)} * {P1} % {_M}) AS h FROM x5),
+x7 AS (SELECT u, xor(h, h // {1 << 33}::UHUGEINT) * {P2} % {_M} AS h FROM x6),
+x8 AS (SELECT u, xor(h, h // {1 << 29}::UHUGEINT) * {P3} % {_M} AS h FROM x7),
+hashed AS (SELECT u, xor(h, h // {1 << 32}::UHUGEINT) AS h FROM x8)"""
+
+
+def _short(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = USERS(spark, sf_dir).withColumn("metric", F.lit("e"))
+    return df.withColumn("labels", labels_of(u="label_user_id")).drop("label_event_type", "label_user_id")
+
+
+_CHOSEN = f"WITH {EV}, lv AS (SELECT CAST(user_id AS VARCHAR) AS u, max(t) AS ts, arg_max(value, (t, -event_id)) AS v FROM ev WHERE t >= {END} - {DAY} AND t <= {END} GROUP BY 1), {_XXH}, r AS (SELECT u, ts, {R6('v')} AS value, row_number() OVER (ORDER BY h) AS k, count(*) OVER () AS n FROM lv JOIN hashed USING (u)) SELECT u, ts, value FROM r WHERE "
+add("limitk_by_hash", instant(_short, "limitk(7, e)", "u"), _CHOSEN + "k <= 7")
+add("limit_ratio_by_hash", instant(_short, "limit_ratio(0.3, e)", "u"), _CHOSEN + "k <= floor(n * 0.3)")
+add("limit_ratio_rest_by_hash", instant(_short, "limit_ratio(-0.3, e)", "u"), _CHOSEN + "k > n - floor(n * 0.3)")
+ORACLES["range_holt_winters"] = ORACLES["range_double_exponential_smoothing"]
