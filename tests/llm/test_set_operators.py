@@ -370,6 +370,62 @@ def test_line_links(spark, whole_bucket):
     assert gone <= truth and len(gone) >= 0.97 * len(truth)
 
 
+def shingle_sets(lines, width=8):
+    return [{x[i : i + width] for i in range(len(x) - width + 1)} for x in lines]
+
+
+def family(rng, n, words=40, spots=10, share=0.3):
+    """Variants of one line, many of them near the threshold."""
+    base = [f"w{rng.randint(0, 9999)}" for _ in range(words)]
+    out = []
+    while len(out) < n:
+        copy = list(base)
+        for i in range(0, words, words // spots):
+            if rng.random() < share:
+                copy[i] = f"e{i}x{rng.randint(0, 999)}"
+        if " ".join(copy) not in out:
+            out.append(" ".join(copy))
+    return out
+
+
+def test_set_join_leaves_no_pair_out(spark):
+    """All pairs of different components that reach the similarity, but far from all pairs."""
+    rng = random.Random(31)
+    lines = [x for n in (60, 40) for x in family(rng, n)] + ["ab" * 300, "ab" * 299 + "a", "c" * 40, "lone line with nothing else"]
+    sets = shingle_sets(lines)
+    near = {(a, b) for b in range(len(lines)) for a in range(b) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    head = L.heads(L.sketched(spark.createDataFrame(list(enumerate(lines)), "lid long, line string"), 8), 8, 0.8, L._within(1 << 20))
+    alone, joined = (spark.createDataFrame([(i, 0) for i in range(n)], "node long, component long") for n in (0, 60))
+    apart = {(r.a, r.b) for r in L.set_join(head, alone, 0.8, L._within(1 << 20)).collect()}
+    assert len(near) > 30 and near <= apart and len(apart) < len(lines) ** 2 / 4
+    assert {p for p in near if max(p) >= 60} <= {(r.a, r.b) for r in L.set_join(head, joined, 0.8, L._within(0)).collect()}
+    assert {(r.a, r.b) for r in L.set_join(head, alone, 0.8, L._within(0), first=True).collect()} <= apart
+
+
+@pytest.mark.parametrize("whole_bucket,broadcast_bytes", [(8, 64 << 20), (2, 0)])
+def test_large_buckets_lose_no_link(spark, whole_bucket, broadcast_bytes):
+    """Close lines that share a key are of one component, in buckets of any size."""
+    rng = random.Random(8)
+    lines = [x for _ in range(2) for x in family(rng, 200)]
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    subs = {r.doc: [r[f"b{i}"] for i in range(6)] for r in L.signed(L.occurrences(docs, "doc_id", "text"), 8, 6).collect()}
+    sets = shingle_sets(lines)
+    first = list(range(len(lines)))
+
+    def find(x):
+        while first[x] != x:
+            x = first[x]
+        return x
+
+    for i in range(len(lines)):
+        for j in range(i):
+            if sum(x == y for x, y in zip(subs[i], subs[j], strict=True)) >= 2 and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = find(i), find(j)
+                first[max(a, b)] = min(a, b)
+    gone = gone_lines(spark, lines, whole_bucket=whole_bucket, broadcast_bytes=broadcast_bytes)
+    assert {i for i in range(len(lines)) if find(i) != i} <= gone <= brute_lines(lines)
+
+
 def test_lines_of_one_id_with_several_texts(spark):
     """A row loses its own repeated lines, not those at the same places in another text of its id."""
     rows = [(1, "a line that is shared by many\nfirst"), (2, "own line here\na line that is shared by many"), (2, "a line that is shared by many\nanother of its lines"), (3, "x\ny\nx")]

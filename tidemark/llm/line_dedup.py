@@ -7,13 +7,14 @@ hashes. Every shingle enters the signature: ``2 * ring`` minhashes, paired into
 minhashes. By the default, 12 minhashes make 15 keys, and lines of similarity
 0.8, 0.85 and 0.9 share one with probability 0.975, 0.992 and 0.999.
 
-All lines of a bucket meet its first line. What that links is merged; then they
-meet its last line too, and the lines of buckets of up to ``whole_bucket`` are all compared, but for those
-connected already. The lines of a larger bucket are put into buckets by three
-agreeing sub-keys, those of what is large still by four, and so on, each treated
-alike: two lines of similarity 0.8 that share a bucket share one of three
-sub-keys with probability 0.983, and the pairs of a family of n variants stay in
-proportion to n.
+All lines of a bucket meet its first line, and what that links is merged. In
+buckets that still hold lines of several components, every two lines of
+different ones are decided: one by one in buckets of up to ``whole_bucket``, and
+for the lines of larger ones by an exact set join. Of two sets that reach the
+similarity, the rarest shingles share one, in places that leave room for the
+overlap; no line, pair or bucket is left out, and a family of n variants makes
+pairs only where rare shingles agree. So two close lines that share a key end in
+one component, whatever the bucket's size.
 
 A pair is dropped early only where the shingles' bitmaps prove that too many
 are in one line alone; all others are confirmed by the exact Jaccard similarity
@@ -29,6 +30,7 @@ get sets.
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
@@ -127,11 +129,6 @@ def confirmed(pairs: DataFrame, texts: DataFrame, width: int, similarity: float)
     return sets.where(F.size(F.array_intersect("sa", "sb")) >= similarity * F.size(F.array_union("sa", "sb"))).select("a", "b")
 
 
-def _buckets(keyed: DataFrame) -> DataFrame:
-    """(key, a, b) of each key with several lines, a and b the first and last."""
-    return keyed.groupBy("key").agg(F.min("lid").alias("a"), F.max("lid").alias("b")).where("a != b")
-
-
 def _within(rows: int):
     """A broadcast of frames of at most so many rows; ``bound`` is a settled frame that has as many rows or more."""
 
@@ -142,20 +139,69 @@ def _within(rows: int):
 
 
 def _members(keyed: DataFrame, near) -> DataFrame:
-    """``keyed`` rows of keys with several lines, with the first line a, the last line b and their number m."""
-    buckets = settle(_buckets(keyed), "line-buckets")
-    several = settle(keyed.join(near(buckets), "key"), "line-members")
-    sizes = several.groupBy("key").agg(F.count(F.lit(1)).alias("m"))
-    out = settle(several.join(near(sizes, buckets), "key"), "line-members")
-    discard(buckets, several)
+    """``keyed`` rows of keys with several lines, with the first line a and the number m of lines."""
+    buckets = settle(keyed.groupBy("key").agg(F.min("lid").alias("a"), F.count(F.lit(1)).alias("m")).where("m > 1"), "line-buckets")
+    out = settle(keyed.join(near(buckets), "key").select("key", "lid", "a", "m"), "line-members")
+    discard(buckets)
     return out
 
 
 def _all_pairs(met: DataFrame) -> DataFrame:
-    """(a, b) of every two lines of a bucket."""
-    lists = met.groupBy("key").agg(F.sort_array(F.collect_list("lid")).alias("ids"))
-    pairs = lists.select(F.posexplode("ids").alias("i", "a"), "ids").select("a", F.explode(F.expr("slice(ids, i + 2, size(ids))")).alias("b"))
-    return pairs.where("a != b")
+    """(a, b) of every two lines of a bucket that are of different components c, but for its first line, which all have met."""
+    lists = met.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("lid", "c"))).alias("ids"))
+    pairs = lists.select(F.posexplode("ids").alias("i", "x"), "ids").where("i > 0").select("x", F.explode(F.expr("slice(ids, i + 2, size(ids))")).alias("y"))
+    return pairs.where("x.c != y.c").select(F.col("x.lid").alias("a"), F.col("y.lid").alias("b"))
+
+
+def heads(lines: DataFrame, width: int, similarity: float, near, words: int = 32, folds: int = 8) -> DataFrame:
+    """(s, lid, n, left, v0, v1, ...): the rarest shingles s of each line of ``lines``, as many as ``set_join`` takes.
+
+    ``n`` is the size of the line's set, ``left`` how many of it are no rarer
+    than s, s included, and the rest is the bitmap, folded. One order holds for
+    all lines; shingles of one line alone only take places in it.
+    """
+    fold = [reduce(Column.bitwiseOR, [F.col(f"w{j}") for j in range(i, words, folds)]).alias(f"v{i}") for i in range(folds)]
+    bits = [f"v{i}" for i in range(folds)]
+    sets = settle(lines.select("lid", F.array_distinct(hashes(F.col("line"), width)).alias("set"), *fold), "line-sets")
+    each = sets.select("lid", F.explode("set").alias("s"))
+    common = settle(each.groupBy("s").agg(F.count(F.lit(1)).alias("f")).where("f > 1"), "line-shingles")
+    ranked = each.join(near(common), "s").groupBy("lid").agg(F.sort_array(F.collect_list(F.struct("f", "s"))).alias("common"))
+    ranked = ranked.join(sets.select("lid", F.size("set").alias("n"), *bits), "lid")
+    ranked = ranked.select("lid", "n", *bits, F.size("common").alias("_m"), F.posexplode("common").alias("_k", "_s"))
+    ranked = ranked.select(F.col("_s.s").alias("s"), "lid", "n", (F.col("_m") - F.col("_k")).alias("left"), *bits)
+    out = settle(ranked.where(F.col("left") >= similarity * F.col("n") - 1e-6), "line-heads")
+    discard(sets, common)
+    return out
+
+
+def set_join(head: DataFrame, member: DataFrame, similarity: float, near, first: bool = False, folds: int = 8) -> DataFrame:
+    """(a, b) of lines of ``heads`` in different components: all that reach the similarity, and some that do not.
+
+    Two sets of sizes m <= n that share k shingles share one of the m - k + 1
+    rarest of one and the n - k + 1 rarest of the other, and of both k are no
+    rarer than the rarest they share. Here k is at least s / (1 + s) * (m + n),
+    hence at least s * n, and 2 * s / (1 + s) * m. Bitmaps rule out as in
+    ``probable``. With ``first``, only pairs with one of up to four lines of
+    each shingle: they link most of a family without all its pairs.
+    """
+    bits = [f"v{i}" for i in range(folds)]
+    of = head.select("s", "lid").join(near(member), F.col("lid") == F.col("node"), "left").select("s", "lid", F.coalesce("component", "lid").alias("c"))
+    mixed = settle(of.groupBy("s").agg(F.min("c").alias("_lo"), F.max("c").alias("_hi")).where("_lo != _hi").select("s"), "line-mixed")
+    rows = head.join(near(mixed), "s").join(near(member), F.col("lid") == F.col("node"), "left")
+    rows = settle(rows.select("s", "lid", "n", "left", F.coalesce("component", "lid").alias("c"), *bits), "line-rows")
+    some = F.array_distinct(F.array(F.min("lid"), F.max("lid"), F.min_by("lid", F.xxhash64("lid")), F.max_by("lid", F.xxhash64("lid"))))
+    few = rows.join(near(rows.groupBy("s").agg(some.alias("_some")).select("s", F.explode("_some").alias("lid")), rows), ["s", "lid"]) if first else rows.where(F.col("left") * (1 + similarity) >= 2 * similarity * F.col("n") - 1e-6)
+    x, y = lambda c: F.col(f"x.{c}"), lambda c: F.col(f"y.{c}")
+    both = x("n") + y("n")
+    apart = sum((F.bit_count(x(v).bitwiseXOR(y(v))) for v in bits), F.lit(0))
+    fits = (x("s") == y("s")) & (x("c") != y("c")) & (F.least(x("left"), y("left")) * (1 + similarity) >= similarity * both - 1e-6)
+    if not first:
+        fits &= (x("n") < y("n")) | (x("n") == y("n")) & (x("lid") < y("lid"))
+    fits &= apart * (1 + similarity) <= both * (1 - similarity) + 1e-6
+    met = rows.alias("y").join(near(few, rows).alias("x"), fits)
+    pairs = settle(met.select(F.least(x("lid"), y("lid")).alias("a"), F.greatest(x("lid"), y("lid")).alias("b")).distinct(), "line-pairs")
+    discard(mixed, rows)
+    return pairs
 
 
 def dropped_lines(
@@ -195,31 +241,34 @@ def dropped_lines(
     star = met.where("a != lid").select("a", F.col("lid").alias("b"))
     star = settle(star.distinct(), "line-star")
     links = settle(confirmed(star, texts, width, similarity), "line-links")
-    member = components(links)
-    last = lambda df: df.where((F.col("m") > whole_bucket) & (F.col("lid") != F.col("b"))).select(F.col("lid").alias("a"), "b")
-    rest = _all_pairs(met.where(F.col("m").between(3, whole_bucket))).union(last(met))
-    large = met.where(F.col("m") > whole_bucket).select("lid", F.get(F.array(*[F.lit(1 << i | 1 << j) for i, j in bands]), F.col("band")).alias("of"))
-    used = []
-    for _ in range(subs - 2):
-        if not large.limit(1).count():
-            break
-        more = large.select("lid", F.explode(F.array(*[F.col("of").bitwiseOR(F.lit(1 << j)) for j in range(subs)])).alias("to"), "of").where("to != of").select("lid", F.col("to").alias("of"))
-        deeper = more.distinct().join(once.select("lid", *[f"b{i}" for i in range(subs)]), "lid")
-        agreed = F.xxhash64("of", *[F.when(F.col("of").bitwiseAND(F.lit(1 << i)) != 0, F.col(f"b{i}")) for i in range(subs)])
-        deeper = settle(deeper.select("lid", "of", agreed.alias("key")), "line-deeper")
-        inner = _members(deeper, near)
-        used += [deeper, inner]
-        rest = rest.union(inner.where("a != lid").select("a", F.col("lid").alias("b"))).union(last(inner))
-        rest = rest.union(_all_pairs(inner.where(F.col("m").between(3, whole_bucket))))
-        large = inner.where(F.col("m") > whole_bucket).select("lid", "of")
-    of = lambda x: member.select(F.col("node").alias(x), F.col("component").alias(f"c{x}"))
-    rest = settle(rest.distinct().join(near(star), ["a", "b"], "left_anti"), "line-pairs")
-    member = settle(member, "line-components")
-    apart = rest.join(near(of("a"), member), "a", "left").join(near(of("b"), member), "b", "left")
-    apart = apart.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
-    more = settle(confirmed(apart, texts, width, similarity), "line-links")
-    if more.limit(1).count():
-        member = settle(components(links.union(more)), "line-components")
+    member = settle(components(links), "line-components")
+    found, used = [links], []
+
+    def keep_used(df: DataFrame, name: str) -> DataFrame:
+        used.append(settle(df, name))
+        return used[-1]
+
+    def placed(members: DataFrame) -> DataFrame:
+        rows = members.where("m > 2").join(near(member), F.col("lid") == F.col("node"), "left")
+        return keep_used(rows.select("key", "lid", "m", F.coalesce("component", "lid").alias("c")), "line-placed")
+
+    def merged(pairs: DataFrame) -> DataFrame:
+        more = keep_used(confirmed(pairs, texts, width, similarity), "line-links")
+        found.append(more)
+        return keep_used(components(reduce(DataFrame.union, found)), "line-components") if more.limit(1).count() else member
+
+    members = placed(met)
+    mixed = keep_used(members.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo != hi").select("key"), "line-mixed")
+    undecided = members.join(near(mixed), "key")
+    large = keep_used(undecided.where(F.col("m") > whole_bucket).select("lid").distinct(), "line-large")
+    rest = keep_used(_all_pairs(undecided.where(F.col("m") <= whole_bucket)).distinct(), "line-pairs")
+    member = merged(rest)
+    if large.limit(1).count():
+        head = heads(texts.join(near(large), "lid"), width, similarity, near)
+        used.append(head)
+        for first in (True, False):
+            used.append(set_join(head, member, similarity, near, first))
+            member = merged(used[-1])
     grouped = once.select("lid", "h", "g", "doc", "n").join(near(member), F.col("lid") == F.col("node"), "left")
     repeated = grouped.where("component is not null or n > 1").select("h", "g", "doc", F.coalesce("component", "lid").alias("component"))
     repeated = settle(repeated, "line-groups")
@@ -230,7 +279,7 @@ def dropped_lines(
     own = met_again.groupBy("doc", "th", "component", "kept_doc").agg(F.sort_array(F.collect_set("pos")).alias("at"))
     lost = F.when(F.col("doc") == F.col("kept_doc"), F.expr("slice(at, 2, size(at))")).otherwise(F.col("at"))
     gone = settle(own.select("doc", "th", F.explode(lost).alias("pos"), "component", "kept_doc"), "lines-gone")
-    discard(once, met, shared, wanted, texts, star, links, rest, more, repeated, keep, decided, *used)
+    discard(once, met, shared, wanted, texts, star, links, member, repeated, keep, decided, *used)
     return gone
 
 
