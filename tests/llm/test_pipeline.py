@@ -1,5 +1,6 @@
 """The pipeline's stages on the small tables and on odd rows, and the registered SQL."""
 
+import random
 import re
 
 import duckdb
@@ -7,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tests.llm.test_set_operators import brute_groups
+from tests.llm.test_set_operators import brute_groups, brute_lines, family
 from tests.llm.test_text_operators import brute_hits
 from tests.oracle import compare, connection
 from tidemark.llm import common, langid, queries
@@ -143,3 +144,12 @@ def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
 def test_sql(spark, name):
     c = connection("/root/testdata/sf0.001")
     assert compare(spark, c, queries.QUERIES[name], queries.ORACLES[name], SF) is None
+
+
+def test_line_stage_loses_no_variant(spark):
+    """Of a large family of one line's variants, the line stage keeps what plain character shingles keep."""
+    rng = random.Random(8)
+    lines = [x for _ in range(2) for x in family(rng, 200)]
+    docs = spark.createDataFrame([(i, x, "en", "web", len(x)) for i, x in enumerate(lines)], "doc_id long, text string, lang string, source string, n_chars long")
+    left = {r.doc_id for r in corpus_pipeline.line_deduplication(spark, docs, "").collect()}
+    assert left == set(range(len(lines))) - brute_lines(lines)
