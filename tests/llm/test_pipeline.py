@@ -153,3 +153,15 @@ def test_line_stage_loses_no_variant(spark):
     docs = spark.createDataFrame([(i, x, "en", "web", len(x)) for i, x in enumerate(lines)], "doc_id long, text string, lang string, source string, n_chars long")
     left = {r.doc_id for r in corpus_pipeline.line_deduplication(spark, docs, "").collect()}
     assert left == set(range(len(lines))) - brute_lines(lines)
+
+
+def test_line_stage_compares_short_lines_of_wide_characters(spark):
+    """Lines of fewer than eight characters, but of eight code units or more, have shingles and meet others."""
+    lines = ["🙂" * 6, "🙂" * 7, "🙂" * 9, "🙂" * 3, "🙂" * 2, "🙃🙂" * 3, "short"]
+    docs = spark.createDataFrame([(i, x, "en", "web", len(x)) for i, x in enumerate(lines)], "doc_id long, text string, lang string, source string, n_chars long")
+    units = [x.encode("utf-16-be") for x in lines]
+    sets = [{u[i : i + 16] for i in range(0, max(len(u) - 15, 1), 2)} for u in units]
+    want = {b for b in range(len(lines)) for a in range(b) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    assert want == {1, 2}
+    left = {r.doc_id for r in corpus_pipeline.line_deduplication(spark, docs, "").collect()}
+    assert left == set(range(len(lines))) - want

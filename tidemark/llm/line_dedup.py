@@ -72,11 +72,13 @@ def signed(lines: DataFrame, width: int, subs: int, per: int = 8) -> DataFrame:
     """(h, g, doc, n, long, b0, b1, ...) of each line of ``lines`` (h, g, doc, line).
 
     ``doc`` is its first document, ``n`` how often it stands in ``lines``,
-    ``long`` whether it has ``width`` characters, and the rest are sub-keys. A
+    ``long`` whether it has ``width`` code units, and the rest are sub-keys. A
     minhash is the least xor distance of a shingle to a fixed point.
     """
     near = lambda i: F.min(F.least(*[F.col(f"s{k}").bitwiseXOR(F.lit(_mask(i))) for k in range(per)]))
-    rows = shingled(lines.select("h", "g", "doc", (F.length("line") >= width).alias("long"), "line"), width, per)
+    # in code units, as shingles are: fewer characters than ``width`` may have more of them
+    long = (F.length("line") >= width) | (F.length(F.encode("line", "UTF-16BE")) >= 2 * width)
+    rows = shingled(lines.select("h", "g", "doc", long.alias("long"), "line"), width, per)
     low = rows.groupBy("h", "g").agg(F.min("doc").alias("doc"), F.sum(F.when(F.col("at") == 1, 1).otherwise(0)).alias("n"), F.max("long").alias("long"), *[near(i).alias(f"_m{i}") for i in range(2 * subs)])
     return low.select("h", "g", "doc", "n", "long", *[F.xxhash64(F.lit(i), f"_m{2 * i}", f"_m{2 * i + 1}").alias(f"b{i}") for i in range(subs)])
 
