@@ -83,11 +83,12 @@ def signed(lines: DataFrame, width: int, subs: int, per: int = 8) -> DataFrame:
     return low.select("h", "g", "doc", "n", "long", *[F.xxhash64(F.lit(i), f"_m{2 * i}", f"_m{2 * i + 1}").alias(f"b{i}") for i in range(subs)])
 
 
-def sketched(lines: DataFrame, width: int, words: int = 32) -> DataFrame:
+def sketched(lines: DataFrame, width: int, words: int = 32, per: int = 8) -> DataFrame:
     """``lines`` (lid, line) with ``most``, a bound of the set's size, and a bitmap ``w0``, ``w1``, ... of its hashes."""
-    hashed = shingled(lines.select("lid", "line"), width, 1)
-    part = hashed.groupBy("lid", F.expr(f"s0 >>> 6 & {words - 1}").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s0 & 63 as int))")).alias("b"))
-    maps = part.groupBy("lid").agg(*[F.bit_or(F.when(F.col("w") == i, F.col("b")).otherwise(0)).alias(f"w{i}") for i in range(words)])
+    bits = [c for k in range(per) for c in (F.expr(f"s{k} >>> 6 & {words - 1}").alias(f"i{k}"), F.expr(f"shiftleft(1L, cast(s{k} & 63 as int))").alias(f"b{k}"))]
+    hashed = shingled(lines.select("lid", "line"), width, per).select("lid", *bits)
+    word = lambda i: reduce(Column.bitwiseOR, [F.when(F.col(f"i{k}") == i, F.col(f"b{k}")).otherwise(0) for k in range(per)])
+    maps = hashed.groupBy("lid").agg(*[F.bit_or(word(i)).alias(f"w{i}") for i in range(words)])
     units = F.length(F.encode("line", "UTF-16BE")) / 2
     return lines.join(maps, "lid").withColumn("most", F.greatest(units - (width - 1), F.lit(1)).cast("int"))
 
@@ -98,13 +99,15 @@ def occurrences(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     ``th`` is a hash of the text, so that rows of one id with several texts
     stay apart; ``h`` and ``g`` are 128 bits naming the normalized line.
     """
-    lines = docs.select(F.col(id_col).alias("doc"), F.xxhash64(text_col).alias("th"), F.posexplode(F.split(F.col(text_col), "\n", -1)).alias("pos", "raw"))
-    lines = lines.select("doc", "th", "pos", normal(F.col("raw")).alias("line")).where("line != ''")
+    # the text is hashed before it is split, else once a line; no line is blank by its case
+    texts = docs.select(F.col(id_col).alias("doc"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("_text"))
+    lines = texts.select("doc", "th", F.posexplode(F.split("_text", "\n", -1)).alias("pos", "raw")).where(F.trim("raw") != "")
+    lines = lines.select("doc", "th", "pos", normal(F.col("raw")).alias("line"))
     return lines.select("doc", "th", "pos", F.xxhash64("line").alias("h"), F.xxhash64(F.lit("line"), "line").alias("g"), "line")
 
 
 def probable(pairs: DataFrame, texts: DataFrame, similarity: float, words: int = 32) -> DataFrame:
-    """The pairs (a, b) but for those whose bitmaps prove them too far apart.
+    """The pairs (a, b, off) but for those whose bitmaps prove them too far apart; ``off`` is less for closer bitmaps.
 
     Bits set on one side alone are at most the elements on one side alone, and
     at the similarity those are at most (1 - s) / (1 + s) of both sizes.
@@ -112,7 +115,8 @@ def probable(pairs: DataFrame, texts: DataFrame, similarity: float, words: int =
     side = lambda x: texts.select(F.col("lid").alias(x), F.col("most").alias(f"n{x}"), *[F.col(f"w{i}").alias(f"{x}{i}") for i in range(words)])
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     apart = sum((F.bit_count(F.col(f"a{i}").bitwiseXOR(F.col(f"b{i}"))) for i in range(words)), F.lit(0))
-    return both.where(apart * (1 + similarity) <= (F.col("na") + F.col("nb")) * (1 - similarity) + 1e-6).select("a", "b")
+    off = both.select("a", "b", "na", "nb", apart.alias("_apart")).where(F.col("_apart") * (1 + similarity) <= (F.col("na") + F.col("nb")) * (1 - similarity) + 1e-6)
+    return off.select("a", "b", (F.col("_apart") / (F.col("na") + F.col("nb"))).alias("off"))
 
 
 def hashes(line: Column, width: int) -> Column:
@@ -124,11 +128,18 @@ def hashes(line: Column, width: int) -> Column:
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose sets reach the Jaccard similarity; sets are made where a pair meets, for texts travel lighter."""
+    """The pairs (a, b) whose sets reach the Jaccard similarity."""
+    return exact(probable(pairs, texts, similarity), texts, width, similarity)
+
+
+def exact(pairs: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
+    """``confirmed`` without a look at bitmaps; sets are made where a pair meets, for texts travel lighter."""
     side = lambda x: texts.select(F.col("lid").alias(x), F.col("line").alias(f"l{x}"))
-    both = probable(pairs, texts, similarity).join(side("a"), "a").join(side("b"), "b")
+    both = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b")
     sets = both.select("a", "b", hashes(F.col("la"), width).alias("sa"), hashes(F.col("lb"), width).alias("sb"))
-    return sets.where(F.size(F.array_intersect("sa", "sb")) >= similarity * F.size(F.array_union("sa", "sb"))).select("a", "b")
+    shared, most = F.size(F.array_intersect("sa", "sb")), F.size("sa") + F.size("sb")
+    # the union has at most the rest of the shingles; it is made where that does not decide
+    return sets.where((shared * (1 + similarity) >= similarity * most + 1e-6) | (shared >= similarity * F.size(F.array_union("sa", "sb")))).select("a", "b")
 
 
 def _within(rows: int):
@@ -160,22 +171,33 @@ def heads(lines: DataFrame, width: int, similarity: float, near, words: int = 32
 
     ``n`` is the size of the line's set, ``left`` how many of it are no rarer
     than s, s included, and the rest is the bitmap, folded. One order holds for
-    all lines; shingles of one line alone only take places in it.
+    all lines, and s is a shingle's place in it; shingles of one line alone only
+    take places.
     """
     fold = [reduce(Column.bitwiseOR, [F.col(f"w{j}") for j in range(i, words, folds)]).alias(f"v{i}") for i in range(folds)]
     bits = [f"v{i}" for i in range(folds)]
     sets = settle(lines.select("lid", F.array_distinct(hashes(F.col("line"), width)).alias("set"), *fold), "line-sets")
     each = sets.select("lid", F.explode("set").alias("s"))
-    common = settle(each.groupBy("s").agg(F.count(F.lit(1)).alias("f")).where("f > 1"), "line-shingles")
-    ranked = each.join(near(common), "s").groupBy("lid").agg(F.sort_array(F.collect_list(F.struct("f", "s"))).alias("common"))
+    often = settle(each.groupBy("s").agg(F.count(F.lit(1)).alias("f")).where("f > 1"), "line-shingles")
+    common = settle(often.orderBy("f", "s").select("s", F.monotonically_increasing_id().alias("r")), "line-places")
+    ranked = each.join(near(common), "s").groupBy("lid").agg(F.sort_array(F.collect_list("r")).alias("common"))
     ranked = ranked.join(sets.select("lid", F.size("set").alias("n"), *bits), "lid")
-    ranked = ranked.select("lid", "n", *bits, F.size("common").alias("_m"), F.posexplode("common").alias("_k", "_s"))
-    ranked = ranked.select(F.col("_s.s").alias("s"), "lid", "n", (F.col("_m") - F.col("_k")).alias("left"), *bits)
+    head = F.slice("common", F.lit(1), F.greatest(F.floor(F.size("common") - similarity * F.col("n") + 1e-6).cast("int") + 1, F.lit(0)))
+    ranked = ranked.select("lid", "n", *bits, F.size("common").alias("_m"), F.posexplode(head).alias("_k", "s"))
+    ranked = ranked.select("s", "lid", "n", (F.col("_m") - F.col("_k")).alias("left"), *bits)
     out = settle(ranked.where(F.col("left") >= similarity * F.col("n") - 1e-6), "line-heads")
-    discard(sets, common)
+    discard(sets, often, common)
     return out
 
 
+def crowded(head: DataFrame, similarity: float, meetings: int = 64) -> bool:
+    """Whether rows of ``heads`` meet more than so many rows each, on average, in a ``set_join`` without ``first``."""
+    pivot = F.when(F.col("left") * (1 + similarity) >= 2 * similarity * F.col("n") - 1e-6, 1).otherwise(0)
+    each = head.groupBy("s").agg(F.count(F.lit(1)).alias("rows"), F.sum(pivot).alias("pivots"))
+    rows, met = each.agg(F.sum("rows"), F.sum(F.col("rows").cast("double") * F.col("pivots"))).first()
+    return bool(rows) and met > meetings * rows
+
+
 def set_join(head: DataFrame, member: DataFrame, similarity: float, near, first: bool = False, folds: int = 8) -> DataFrame:
     """(a, b) of lines of ``heads`` in different components: all that reach the similarity, and some that do not.
 
@@ -206,6 +228,18 @@ def set_join(head: DataFrame, member: DataFrame, similarity: float, near, first:
     return pairs
 
 
+def _joined(member: DataFrame, links: DataFrame, near) -> DataFrame:
+    """The components (node, component) of ``member`` with ``links`` (a, b) added, by links between components."""
+    of = lambda x: near(member).select(F.col("node").alias(x), F.col("component").alias(f"c{x}"))
+    roots = links.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    top = settle(components(roots.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))), "line-tops")
+    old = member.join(near(top.select(F.col("node").alias("component"), F.col("component").alias("_top")), top), "component", "left")
+    out = old.select("node", F.coalesce("_top", "component").alias("component")).union(top.join(near(member.select("node"), member), "node", "left_anti"))
+    out = settle(out, "line-components")
+    discard(top)
+    return out
+
+
 def dropped_lines(
     docs: DataFrame,
     *,
@@ -232,8 +266,8 @@ def dropped_lines(
     lines = occurrences(docs, id_col, text_col)
     once = settle(signed(lines, width, subs).select(F.monotonically_increasing_id().alias("lid"), "*"), "line-keys")
     bands = list(combinations(range(subs), 2))
-    keys = [F.struct(F.lit(k).alias("band"), F.xxhash64(F.lit(k), f"b{i}", f"b{j}").alias("key")) for k, (i, j) in enumerate(bands)]
-    keyed = once.where("long").select("lid", F.explode(F.array(*keys)).alias("_k")).select("lid", "_k.band", "_k.key")
+    keys = [F.xxhash64(F.lit(k), f"b{i}", f"b{j}") for k, (i, j) in enumerate(bands)]
+    keyed = once.where("long").select("lid", F.explode(F.array(*keys)).alias("key"))
     met = _members(keyed, near)
     shared = settle(met.select("lid").distinct(), "line-wanted")
     wanted = settle(once.select("lid", "h", "g", "doc").join(near(shared), "lid"), "line-wanted")
@@ -244,7 +278,7 @@ def dropped_lines(
     star = settle(star.distinct(), "line-star")
     links = settle(confirmed(star, texts, width, similarity), "line-links")
     member = settle(components(links), "line-components")
-    found, used = [links], []
+    used = []
 
     def keep_used(df: DataFrame, name: str) -> DataFrame:
         used.append(settle(df, name))
@@ -255,22 +289,33 @@ def dropped_lines(
         return keep_used(rows.select("key", "lid", "m", F.coalesce("component", "lid").alias("c")), "line-placed")
 
     def merged(pairs: DataFrame) -> DataFrame:
-        more = keep_used(confirmed(pairs, texts, width, similarity), "line-links")
-        found.append(more)
-        return keep_used(components(reduce(DataFrame.union, found)), "line-components") if more.limit(1).count() else member
+        more = keep_used(exact(pairs, texts, width, similarity), "line-links")
+        if not more.limit(1).count():
+            return member
+        used.append(_joined(member, more, near))
+        return used[-1]
+
+    def apart(pairs: DataFrame) -> DataFrame:
+        of = lambda x: near(member).select(F.col("node").alias(x), F.col("component").alias(f"c{x}"))
+        return pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
 
     members = placed(met)
     mixed = keep_used(members.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo != hi").select("key"), "line-mixed")
-    undecided = members.join(near(mixed), "key")
+    undecided = keep_used(members.join(near(mixed), "key"), "line-undecided")
+    texts, every = keep_used(texts.join(near(undecided.select("lid").distinct(), undecided), "lid"), "line-doubted"), texts
     large = keep_used(undecided.where(F.col("m") > whole_bucket).select("lid").distinct(), "line-large")
     rest = keep_used(_all_pairs(undecided.where(F.col("m") <= whole_bucket)).distinct(), "line-pairs")
-    member = merged(rest)
+    member = merged(probable(rest, texts, similarity))
     if large.limit(1).count():
         head = heads(texts.join(near(large), "lid"), width, similarity, near)
         used.append(head)
-        for first in (True, False):
+        # the second join finds all; after the first one the lines of a large family are of one component and meet no more
+        for first in (True, False) if crowded(head, similarity) else (False,):
             used.append(set_join(head, member, similarity, near, first))
-            member = merged(used[-1])
+            likely = keep_used(probable(used[-1], texts, similarity), "line-likely")
+            # one pair of each line, the closest by its bitmaps, then all that are still apart
+            member = merged(likely.groupBy("b").agg(F.min_by("a", F.struct("off", "a")).alias("a")))
+            member = merged(apart(likely))
     grouped = once.select("lid", "h", "g", "doc", "n").join(near(member), F.col("lid") == F.col("node"), "left")
     repeated = grouped.where("component is not null or n > 1").select("h", "g", "doc", F.coalesce("component", "lid").alias("component"))
     repeated = settle(repeated, "line-groups")
@@ -281,7 +326,7 @@ def dropped_lines(
     own = met_again.groupBy("doc", "th", "component", "kept_doc").agg(F.sort_array(F.collect_set("pos")).alias("at"))
     lost = F.when(F.col("doc") == F.col("kept_doc"), F.expr("slice(at, 2, size(at))")).otherwise(F.col("at"))
     gone = settle(own.select("doc", "th", F.explode(lost).alias("pos"), "component", "kept_doc"), "lines-gone")
-    discard(once, met, shared, wanted, texts, star, links, member, repeated, keep, decided, *used)
+    discard(once, met, shared, wanted, every, star, links, member, repeated, keep, decided, *used)
     return gone
 
 
