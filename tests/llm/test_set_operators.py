@@ -426,6 +426,28 @@ def test_large_buckets_lose_no_link(spark, whole_bucket, broadcast_bytes):
     assert {i for i in range(len(lines)) if find(i) != i} <= gone <= brute_lines(lines)
 
 
+def test_small_families_are_joined_once(spark, monkeypatch):
+    """The join with a few lines of each shingle, which the whole join repeats, runs only where many lines meet."""
+    lines, runs, join = family(random.Random(5), 30), [], L.set_join
+
+    def seen(*args):
+        runs.append(args[4])
+        return join(*args)
+
+    monkeypatch.setattr(L, "set_join", seen)
+    assert gone_lines(spark, lines, whole_bucket=2) <= brute_lines(lines) and runs == [False]
+
+
+def test_components_joined_by_roots(spark):
+    """Links added to components give the components of all links."""
+    rng = random.Random(6)
+    one, two = ([(rng.randrange(60), rng.randrange(60)) for _ in range(25)] for _ in range(2))
+    links = lambda pairs: spark.createDataFrame(pairs, "a long, b long")
+    want = {tuple(r) for r in L.components(links(one + two)).collect()}
+    have = L.settle(L.components(links(one)), "have")
+    assert {tuple(r) for r in L._joined(have, links([p for p in two if p[0] != p[1]]), L._within(100)).collect()} == want
+
+
 def test_lines_of_one_id_with_several_texts(spark):
     """A row loses its own repeated lines, not those at the same places in another text of its id."""
     rows = [(1, "a line that is shared by many\nfirst"), (2, "own line here\na line that is shared by many"), (2, "a line that is shared by many\nanother of its lines"), (3, "x\ny\nx")]
