@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 
 import numpy as np
 import pytest
@@ -402,6 +403,33 @@ def test_set_join_leaves_no_pair_out(spark):
     assert {(r.a, r.b) for r in L.set_join(head, alone, 0.8, L._within(0), first=True).collect()} <= apart
 
 
+def test_set_join_meets_a_pair_about_once(spark, monkeypatch):
+    """A pair comes at the rarest shingle it shares, not at each one; the pairs are the same."""
+    rng = random.Random(31)
+    lines = [x for n in (60, 40) for x in family(rng, n)]
+    rows, meetings, near = [], L._meetings, L._within(1 << 20)
+
+    def counted(*args):
+        rows.append(meetings(*args).count())
+        return meetings(*args)
+
+    monkeypatch.setattr(L, "_meetings", counted)
+    texts = L.sketched(spark.createDataFrame(list(enumerate(lines)), "lid long, line string"), 8)
+    alone = spark.createDataFrame([], "node long, component long")
+    every, once = ({(r.a, r.b) for r in L.set_join(L.heads(texts, 8, 0.8, near, back=back), alone, 0.8, near).collect()} for back in (0, 2))
+    assert every == once
+    assert rows[0] > 4 * len(every) and rows[1] < 2 * len(every)
+
+
+def test_line_dedup_collects_the_drivers_garbage(spark):
+    """Line dedup runs jobs by the dozen: the driver's heap is collected between them."""
+    beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans
+    full = lambda: sum(b.getCollectionCount() for b in beans() if re.search("Old|MarkSweep", b.getName()))
+    before = full()
+    assert gone_lines(spark, ["one line of some length", "one line of some lengths", "another"]) == {1}
+    assert full() - before >= 5
+
+
 @pytest.mark.parametrize("whole_bucket,broadcast_bytes", [(8, 64 << 20), (2, 0)])
 def test_large_buckets_lose_no_link(spark, whole_bucket, broadcast_bytes):
     """Close lines that share a key are of one component, in buckets of any size."""

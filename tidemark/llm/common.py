@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import uuid
@@ -58,6 +59,16 @@ def discard(*frames: DataFrame | None) -> None:
             p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def free_driver(df: DataFrame) -> None:
+    """Collect the driver's garbage, for jobs that follow each other by the dozen.
+
+    Spark drops broadcasts and shuffle files of finished jobs only then, and the
+    heap, which plans of many jobs fill up to its bound, gives memory back.
+    """
+    gc.collect(0)  # plans that Python no longer holds
+    df.sparkSession._jvm.java.lang.System.gc()
+
+
 def ascii_lower(col):
     """A-Z to a-z and nothing else."""
     return F.translate(col, UPPER, LOWER)

@@ -36,7 +36,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, settle
+from .common import discard, free_driver, settle
 from .components import components
 
 
@@ -166,13 +166,14 @@ def _all_pairs(met: DataFrame) -> DataFrame:
     return pairs.where("x.c != y.c").select(F.col("x.lid").alias("a"), F.col("y.lid").alias("b"))
 
 
-def heads(lines: DataFrame, width: int, similarity: float, near, words: int = 32, folds: int = 8) -> DataFrame:
-    """(s, lid, n, left, v0, v1, ...): the rarest shingles s of each line of ``lines``, as many as ``set_join`` takes.
+def heads(lines: DataFrame, width: int, similarity: float, near, words: int = 32, folds: int = 8, back: int = 2) -> DataFrame:
+    """(s, lid, n, left, p0, p1, ..., v0, v1, ...): the rarest shingles s of each line of ``lines``, as many as ``set_join`` takes.
 
     ``n`` is the size of the line's set, ``left`` how many of it are no rarer
-    than s, s included, and the rest is the bitmap, folded. One order holds for
-    all lines, and s is a shingle's place in it; shingles of one line alone only
-    take places.
+    than s, s included, ``p0``, ``p1``, ... are the ``back`` shingles before s
+    in the line's rows (where there are fewer, a number no other line has), and
+    the rest is the bitmap, folded. One order holds for all lines, and s is a
+    shingle's place in it; shingles of one line alone only take places.
     """
     fold = [reduce(Column.bitwiseOR, [F.col(f"w{j}") for j in range(i, words, folds)]).alias(f"v{i}") for i in range(folds)]
     bits = [f"v{i}" for i in range(folds)]
@@ -183,8 +184,10 @@ def heads(lines: DataFrame, width: int, similarity: float, near, words: int = 32
     ranked = each.join(near(common), "s").groupBy("lid").agg(F.sort_array(F.collect_list("r")).alias("common"))
     ranked = ranked.join(sets.select("lid", F.size("set").alias("n"), *bits), "lid")
     head = F.slice("common", F.lit(1), F.greatest(F.floor(F.size("common") - similarity * F.col("n") + 1e-6).cast("int") + 1, F.lit(0)))
-    ranked = ranked.select("lid", "n", *bits, F.size("common").alias("_m"), F.posexplode(head).alias("_k", "s"))
-    ranked = ranked.select("s", "lid", "n", (F.col("_m") - F.col("_k")).alias("left"), *bits)
+    ranked = ranked.select("lid", "n", *bits, F.size("common").alias("_m"), head.alias("_head"))
+    ranked = ranked.select("lid", "n", *bits, "_m", "_head", F.posexplode("_head").alias("_k", "s"))
+    before = [F.coalesce(F.get("_head", F.col("_k") - (i + 1)), -1 - F.col("lid")).alias(f"p{i}") for i in range(back)]
+    ranked = ranked.select("s", "lid", "n", (F.col("_m") - F.col("_k")).alias("left"), *before, *bits)
     out = settle(ranked.where(F.col("left") >= similarity * F.col("n") - 1e-6), "line-heads")
     discard(sets, often, common)
     return out
@@ -198,6 +201,21 @@ def crowded(head: DataFrame, similarity: float, meetings: int = 64) -> bool:
     return bool(rows) and met > meetings * rows
 
 
+def _meetings(few: DataFrame, rows: DataFrame, similarity: float, first: bool) -> DataFrame:
+    """(a, b) of the rows that meet in a ``set_join``; a pair may come repeatedly."""
+    bits, before = ([c for c in rows.columns if c.startswith(p)] for p in "vp")
+    x, y = lambda c: F.col(f"x.{c}"), lambda c: F.col(f"y.{c}")
+    both = x("n") + y("n")
+    apart = sum((F.bit_count(x(v).bitwiseXOR(y(v))) for v in bits), F.lit(0))
+    fits = (x("s") == y("s")) & (x("c") != y("c")) & (F.least(x("left"), y("left")) * (1 + similarity) >= similarity * both - 1e-6)
+    if not first:
+        fits &= (x("n") < y("n")) | (x("n") == y("n")) & (x("lid") < y("lid"))
+        fits = reduce(Column.__and__, [x(p) != y(q) for p in before for q in before], fits)
+    fits &= apart * (1 + similarity) <= both * (1 - similarity) + 1e-6
+    met = rows.alias("y").join(few.alias("x"), fits)
+    return met.select(F.least(x("lid"), y("lid")).alias("a"), F.greatest(x("lid"), y("lid")).alias("b"))
+
+
 def set_join(head: DataFrame, member: DataFrame, similarity: float, near, first: bool = False, folds: int = 8) -> DataFrame:
     """(a, b) of lines of ``heads`` in different components: all that reach the similarity, and some that do not.
 
@@ -206,24 +224,19 @@ def set_join(head: DataFrame, member: DataFrame, similarity: float, near, first:
     rarer than the rarest they share. Here k is at least s / (1 + s) * (m + n),
     hence at least s * n, and 2 * s / (1 + s) * m. Bitmaps rule out as in
     ``probable``. With ``first``, only pairs with one of up to four lines of
-    each shingle: they link most of a family without all its pairs.
+    each shingle: they link most of a family without all its pairs. Without it
+    two lines do not meet at s where they have met before: if one of the last
+    shingles before s is the same, they share a rarer row, which any of these
+    bounds lets pass if it lets s pass. So at the rarest row they share they meet.
     """
-    bits = [f"v{i}" for i in range(folds)]
+    bits, before = [f"v{i}" for i in range(folds)], [c for c in head.columns if c.startswith("p")]
     of = head.select("s", "lid").join(near(member), F.col("lid") == F.col("node"), "left").select("s", "lid", F.coalesce("component", "lid").alias("c"))
     mixed = settle(of.groupBy("s").agg(F.min("c").alias("_lo"), F.max("c").alias("_hi")).where("_lo != _hi").select("s"), "line-mixed")
     rows = head.join(near(mixed), "s").join(near(member), F.col("lid") == F.col("node"), "left")
-    rows = settle(rows.select("s", "lid", "n", "left", F.coalesce("component", "lid").alias("c"), *bits), "line-rows")
+    rows = settle(rows.select("s", "lid", "n", "left", F.coalesce("component", "lid").alias("c"), *before, *bits), "line-rows")
     some = F.array_distinct(F.array(F.min("lid"), F.max("lid"), F.min_by("lid", F.xxhash64("lid")), F.max_by("lid", F.xxhash64("lid"))))
     few = rows.join(near(rows.groupBy("s").agg(some.alias("_some")).select("s", F.explode("_some").alias("lid")), rows), ["s", "lid"]) if first else rows.where(F.col("left") * (1 + similarity) >= 2 * similarity * F.col("n") - 1e-6)
-    x, y = lambda c: F.col(f"x.{c}"), lambda c: F.col(f"y.{c}")
-    both = x("n") + y("n")
-    apart = sum((F.bit_count(x(v).bitwiseXOR(y(v))) for v in bits), F.lit(0))
-    fits = (x("s") == y("s")) & (x("c") != y("c")) & (F.least(x("left"), y("left")) * (1 + similarity) >= similarity * both - 1e-6)
-    if not first:
-        fits &= (x("n") < y("n")) | (x("n") == y("n")) & (x("lid") < y("lid"))
-    fits &= apart * (1 + similarity) <= both * (1 - similarity) + 1e-6
-    met = rows.alias("y").join(near(few, rows).alias("x"), fits)
-    pairs = settle(met.select(F.least(x("lid"), y("lid")).alias("a"), F.greatest(x("lid"), y("lid")).alias("b")).distinct(), "line-pairs")
+    pairs = settle(_meetings(near(few, rows), rows, similarity, first).distinct(), "line-pairs")
     discard(mixed, rows)
     return pairs
 
@@ -265,6 +278,7 @@ def dropped_lines(
     docs = docs.where(F.col(id_col).isNotNull())
     lines = occurrences(docs, id_col, text_col)
     once = settle(signed(lines, width, subs).select(F.monotonically_increasing_id().alias("lid"), "*"), "line-keys")
+    free_driver(docs)
     bands = list(combinations(range(subs), 2))
     keys = [F.xxhash64(F.lit(k), f"b{i}", f"b{j}") for k, (i, j) in enumerate(bands)]
     keyed = once.where("long").select("lid", F.explode(F.array(*keys)).alias("key"))
@@ -274,10 +288,13 @@ def dropped_lines(
     some = docs.join(near(wanted.select(F.col("doc").alias("_doc")).distinct(), wanted), F.col(id_col) == F.col("_doc"), "left_semi")
     texts = occurrences(some, id_col, text_col).join(near(wanted), ["h", "g", "doc"]).select("lid", "line").dropDuplicates(["lid"])
     texts = settle(sketched(settle(texts, "line-texts"), width), "line-sketches")
+    free_driver(docs)
     star = met.where("a != lid").select("a", F.col("lid").alias("b"))
     star = settle(star.distinct(), "line-star")
     links = settle(confirmed(star, texts, width, similarity), "line-links")
+    free_driver(docs)
     member = settle(components(links), "line-components")
+    free_driver(docs)
     used = []
 
     def keep_used(df: DataFrame, name: str) -> DataFrame:
@@ -305,28 +322,36 @@ def dropped_lines(
     texts, every = keep_used(texts.join(near(undecided.select("lid").distinct(), undecided), "lid"), "line-doubted"), texts
     large = keep_used(undecided.where(F.col("m") > whole_bucket).select("lid").distinct(), "line-large")
     rest = keep_used(_all_pairs(undecided.where(F.col("m") <= whole_bucket)).distinct(), "line-pairs")
+    free_driver(docs)
     member = merged(probable(rest, texts, similarity))
+    free_driver(docs)
     if large.limit(1).count():
         head = heads(texts.join(near(large), "lid"), width, similarity, near)
         used.append(head)
         # the second join finds all; after the first one the lines of a large family are of one component and meet no more
         for first in (True, False) if crowded(head, similarity) else (False,):
+            free_driver(docs)
             used.append(set_join(head, member, similarity, near, first))
+            free_driver(docs)
             likely = keep_used(probable(used[-1], texts, similarity), "line-likely")
             # one pair of each line, the closest by its bitmaps, then all that are still apart
             member = merged(likely.groupBy("b").agg(F.min_by("a", F.struct("off", "a")).alias("a")))
+            free_driver(docs)
             member = merged(apart(likely))
+            free_driver(docs)
     grouped = once.select("lid", "h", "g", "doc", "n").join(near(member), F.col("lid") == F.col("node"), "left")
     repeated = grouped.where("component is not null or n > 1").select("h", "g", "doc", F.coalesce("component", "lid").alias("component"))
     repeated = settle(repeated, "line-groups")
     # both sides as written tables: adaptive execution can then split a component that holds most lines
     keep = settle(repeated.groupBy("component").agg(F.min("doc").alias("kept_doc")), "line-keepers")
     decided = settle(repeated.select("h", "g", "component").join(near(keep), "component"), "line-decided")
+    free_driver(docs)
     met_again = lines.select("doc", "th", "pos", "h", "g").join(near(decided), ["h", "g"])
     own = met_again.groupBy("doc", "th", "component", "kept_doc").agg(F.sort_array(F.collect_set("pos")).alias("at"))
     lost = F.when(F.col("doc") == F.col("kept_doc"), F.expr("slice(at, 2, size(at))")).otherwise(F.col("at"))
     gone = settle(own.select("doc", "th", F.explode(lost).alias("pos"), "component", "kept_doc"), "lines-gone")
     discard(once, met, shared, wanted, every, star, links, member, repeated, keep, decided, *used)
+    free_driver(docs)
     return gone
 
 
