@@ -3,6 +3,8 @@
 import hashlib
 import random
 import re
+from collections import Counter
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -454,6 +456,27 @@ def test_large_buckets_lose_no_link(spark, whole_bucket, broadcast_bytes):
     assert {i for i in range(len(lines)) if find(i) != i} <= gone <= brute_lines(lines)
 
 
+@pytest.mark.parametrize("broadcast_bytes", [64 << 20, 0])
+def test_keys_are_made_where_lines_may_meet(spark, monkeypatch, broadcast_bytes):
+    """No key has a sub-key of one line alone, and no two lines that share a key are kept apart by that."""
+    rng = random.Random(12)
+    lines = family(rng, 30) + [family(rng, 1)[0] for _ in range(150)]
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    subs = [[r[f"b{i}"] for i in range(6)] for r in L.signed(L.occurrences(docs, "doc_id", "text"), 8, 6).collect()]
+    count = Counter(b for line in subs for b in line)
+    buckets = Counter((i, j, line[i], line[j]) for line in subs for i, j in combinations(range(6), 2))
+    made, members = [], L._members
+
+    def seen(keyed, near):
+        made.extend((r.lid, r.key) for r in keyed.collect())
+        return members(keyed, near)
+
+    monkeypatch.setattr(L, "_members", seen)
+    assert gone_lines(spark, lines, broadcast_bytes=broadcast_bytes) <= brute_lines(lines)
+    assert len(made) == len(set(made)) == sum(count[line[i]] > 1 and count[line[j]] > 1 for line in subs for i, j in combinations(range(6), 2)) < 15 * len(lines) / 2
+    assert sorted(n for n in Counter(k for _, k in made).values() if n > 1) == sorted(n for n in buckets.values() if n > 1) != []
+
+
 def test_small_families_are_joined_once(spark, monkeypatch):
     """The join with a few lines of each shingle, which the whole join repeats, runs only where many lines meet."""
     lines, runs, join = family(random.Random(5), 30), [], L.set_join

@@ -5,7 +5,8 @@ units) at every position, taken from the trimmed, lower-cased line, as 64-bit
 hashes. Every shingle enters the signature: ``2 * ring`` minhashes, paired into
 ``subs`` sub-keys, and every two sub-keys joined into a band key of four
 minhashes. By the default, 12 minhashes make 15 keys, and lines of similarity
-0.8, 0.85 and 0.9 share one with probability 0.975, 0.992 and 0.999.
+0.8, 0.85 and 0.9 share one with probability 0.975, 0.992 and 0.999. A key is
+made only where other lines have both of its sub-keys too, for none meets at others.
 
 All lines of a bucket meet its first line, and what that links is merged. In
 buckets that still hold lines of several components, every two lines of
@@ -68,7 +69,7 @@ def shingled(lines: DataFrame, width: int, per: int, line: str = "line") -> Data
     return rows.select(*keys, "at", *[F.xxhash64(F.substring("_u", place(k), F.lit(2 * width))).alias(f"s{k}") for k in range(per)])
 
 
-def signed(lines: DataFrame, width: int, subs: int, per: int = 8) -> DataFrame:
+def signed(lines: DataFrame, width: int, subs: int, per: int = 24) -> DataFrame:
     """(h, g, doc, n, long, b0, b1, ...) of each line of ``lines`` (h, g, doc, line).
 
     ``doc`` is its first document, ``n`` how often it stands in ``lines``,
@@ -83,7 +84,7 @@ def signed(lines: DataFrame, width: int, subs: int, per: int = 8) -> DataFrame:
     return low.select("h", "g", "doc", "n", "long", *[F.xxhash64(F.lit(i), f"_m{2 * i}", f"_m{2 * i + 1}").alias(f"b{i}") for i in range(subs)])
 
 
-def sketched(lines: DataFrame, width: int, words: int = 32, per: int = 8) -> DataFrame:
+def sketched(lines: DataFrame, width: int, words: int = 32, per: int = 16) -> DataFrame:
     """``lines`` (lid, line) with ``most``, a bound of the set's size, and a bitmap ``w0``, ``w1``, ... of its hashes."""
     bits = [c for k in range(per) for c in (F.expr(f"s{k} >>> 6 & {words - 1}").alias(f"i{k}"), F.expr(f"shiftleft(1L, cast(s{k} & 63 as int))").alias(f"b{k}"))]
     hashed = shingled(lines.select("lid", "line"), width, per).select("lid", *bits)
@@ -159,6 +160,22 @@ def _members(keyed: DataFrame, near) -> DataFrame:
     return out
 
 
+def _shared_keys(signs: DataFrame, subs: int, near) -> tuple[DataFrame, DataFrame]:
+    """A settled frame and, made from it, (lid, key): the keys of ``signs`` (lid, b0, b1, ...) at which lines may meet.
+
+    Lines that share a key share both of its sub-keys; where a sub-key is of one
+    line alone, no key is made, so no line that shares a key is left out.
+    """
+    each = signs.select("lid", F.posexplode(F.array(*[f"b{i}" for i in range(subs)])).alias("i", "b"))
+    known = settle(each.groupBy("b").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("b"), "line-subs")
+    mine = [F.max(F.when(F.col("i") == i, F.col("b"))).alias(f"b{i}") for i in range(subs)]
+    wide = settle(each.join(near(known), "b").groupBy("lid").agg(F.count(F.lit(1)).alias("m"), *mine).where("m > 1").drop("m"), "line-subs", repeats=False)
+    discard(known)
+    both = lambda i, j: F.col(f"b{i}").isNotNull() & F.col(f"b{j}").isNotNull()
+    keys = [F.when(both(i, j), F.xxhash64(F.lit(k), f"b{i}", f"b{j}")) for k, (i, j) in enumerate(combinations(range(subs), 2))]
+    return wide, wide.select("lid", F.explode(F.array(*keys)).alias("key")).where("key is not null")
+
+
 def _all_pairs(met: DataFrame) -> DataFrame:
     """(a, b) of every two lines of a bucket that are of different components c, but for its first line, which all have met."""
     lists = met.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("lid", "c"))).alias("ids"))
@@ -177,7 +194,7 @@ def heads(lines: DataFrame, width: int, similarity: float, near, words: int = 32
     """
     fold = [reduce(Column.bitwiseOR, [F.col(f"w{j}") for j in range(i, words, folds)]).alias(f"v{i}") for i in range(folds)]
     bits = [f"v{i}" for i in range(folds)]
-    sets = settle(lines.select("lid", F.array_distinct(hashes(F.col("line"), width)).alias("set"), *fold), "line-sets")
+    sets = settle(lines.select("lid", F.array_distinct(hashes(F.col("line"), width)).alias("set"), *fold), "line-sets", repeats=False)
     each = sets.select("lid", F.explode("set").alias("s"))
     often = settle(each.groupBy("s").agg(F.count(F.lit(1)).alias("f")).where("f > 1"), "line-shingles")
     common = settle(often.orderBy("f", "s").select("s", F.monotonically_increasing_id().alias("r")), "line-places")
@@ -188,7 +205,7 @@ def heads(lines: DataFrame, width: int, similarity: float, near, words: int = 32
     ranked = ranked.select("lid", "n", *bits, "_m", "_head", F.posexplode("_head").alias("_k", "s"))
     before = [F.coalesce(F.get("_head", F.col("_k") - (i + 1)), -1 - F.col("lid")).alias(f"p{i}") for i in range(back)]
     ranked = ranked.select("s", "lid", "n", (F.col("_m") - F.col("_k")).alias("left"), *before, *bits)
-    out = settle(ranked.where(F.col("left") >= similarity * F.col("n") - 1e-6), "line-heads")
+    out = settle(ranked.where(F.col("left") >= similarity * F.col("n") - 1e-6), "line-heads", repeats=False)
     discard(sets, often, common)
     return out
 
@@ -233,7 +250,7 @@ def set_join(head: DataFrame, member: DataFrame, similarity: float, near, first:
     of = head.select("s", "lid").join(near(member), F.col("lid") == F.col("node"), "left").select("s", "lid", F.coalesce("component", "lid").alias("c"))
     mixed = settle(of.groupBy("s").agg(F.min("c").alias("_lo"), F.max("c").alias("_hi")).where("_lo != _hi").select("s"), "line-mixed")
     rows = head.join(near(mixed), "s").join(near(member), F.col("lid") == F.col("node"), "left")
-    rows = settle(rows.select("s", "lid", "n", "left", F.coalesce("component", "lid").alias("c"), *before, *bits), "line-rows")
+    rows = settle(rows.select("s", "lid", "n", "left", F.coalesce("component", "lid").alias("c"), *before, *bits), "line-rows", repeats=False)
     some = F.array_distinct(F.array(F.min("lid"), F.max("lid"), F.min_by("lid", F.xxhash64("lid")), F.max_by("lid", F.xxhash64("lid"))))
     few = rows.join(near(rows.groupBy("s").agg(some.alias("_some")).select("s", F.explode("_some").alias("lid")), rows), ["s", "lid"]) if first else rows.where(F.col("left") * (1 + similarity) >= 2 * similarity * F.col("n") - 1e-6)
     pairs = settle(_meetings(near(few, rows), rows, similarity, first).distinct(), "line-pairs")
@@ -277,17 +294,17 @@ def dropped_lines(
     near = _within(broadcast_bytes // 64)
     docs = docs.where(F.col(id_col).isNotNull())
     lines = occurrences(docs, id_col, text_col)
-    once = settle(signed(lines, width, subs).select(F.monotonically_increasing_id().alias("lid"), "*"), "line-keys")
+    once = settle(signed(lines, width, subs).select(F.monotonically_increasing_id().alias("lid"), "*"), "line-keys", repeats=False)
+    free_driver(docs)
+    shares, keyed = _shared_keys(once.where("long"), subs, near)
     free_driver(docs)
-    bands = list(combinations(range(subs), 2))
-    keys = [F.xxhash64(F.lit(k), f"b{i}", f"b{j}") for k, (i, j) in enumerate(bands)]
-    keyed = once.where("long").select("lid", F.explode(F.array(*keys)).alias("key"))
     met = _members(keyed, near)
+    discard(shares)
     shared = settle(met.select("lid").distinct(), "line-wanted")
     wanted = settle(once.select("lid", "h", "g", "doc").join(near(shared), "lid"), "line-wanted")
     some = docs.join(near(wanted.select(F.col("doc").alias("_doc")).distinct(), wanted), F.col(id_col) == F.col("_doc"), "left_semi")
     texts = occurrences(some, id_col, text_col).join(near(wanted), ["h", "g", "doc"]).select("lid", "line").dropDuplicates(["lid"])
-    texts = settle(sketched(settle(texts, "line-texts"), width), "line-sketches")
+    texts = settle(sketched(settle(texts, "line-texts", repeats=False), width), "line-sketches", repeats=False)
     free_driver(docs)
     star = met.where("a != lid").select("a", F.col("lid").alias("b"))
     star = settle(star.distinct(), "line-star")
@@ -297,8 +314,8 @@ def dropped_lines(
     free_driver(docs)
     used = []
 
-    def keep_used(df: DataFrame, name: str) -> DataFrame:
-        used.append(settle(df, name))
+    def keep_used(df: DataFrame, name: str, repeats: bool = True) -> DataFrame:
+        used.append(settle(df, name, repeats))
         return used[-1]
 
     def placed(members: DataFrame) -> DataFrame:
@@ -319,7 +336,7 @@ def dropped_lines(
     members = placed(met)
     mixed = keep_used(members.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo != hi").select("key"), "line-mixed")
     undecided = keep_used(members.join(near(mixed), "key"), "line-undecided")
-    texts, every = keep_used(texts.join(near(undecided.select("lid").distinct(), undecided), "lid"), "line-doubted"), texts
+    texts, every = keep_used(texts.join(near(undecided.select("lid").distinct(), undecided), "lid"), "line-doubted", repeats=False), texts
     large = keep_used(undecided.where(F.col("m") > whole_bucket).select("lid").distinct(), "line-large")
     rest = keep_used(_all_pairs(undecided.where(F.col("m") <= whole_bucket)).distinct(), "line-pairs")
     free_driver(docs)
