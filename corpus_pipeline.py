@@ -29,7 +29,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated lines go from the texts, and with them documents all of whose lines stand elsewhere."""
-    kept = line_dedup.dedup_lines(docs, drop_emptied=True)
+    kept = line_dedup.dedup_lines(docs, drop_emptied=True, spare_driver=True)
     return kept.withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
 
 

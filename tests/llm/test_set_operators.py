@@ -477,6 +477,13 @@ def test_keys_are_made_where_lines_may_meet(spark, monkeypatch, broadcast_bytes)
     assert sorted(n for n in Counter(k for _, k in made).values() if n > 1) == sorted(n for n in buckets.values() if n > 1) != []
 
 
+def test_all_keys_and_shared_keys_drop_the_same_lines(spark):
+    """Making every key, which spares the driver jobs and broadcasts, changes no result."""
+    rng = random.Random(13)
+    lines = family(rng, 6, share=0.1) + [family(rng, 1)[0] for _ in range(10)] + ["short", "short"]
+    assert gone_lines(spark, lines, spare_driver=True) == gone_lines(spark, lines) != set()
+
+
 def test_small_families_are_joined_once(spark, monkeypatch):
     """The join with a few lines of each shingle, which the whole join repeats, runs only where many lines meet."""
     lines, runs, join = family(random.Random(5), 30), [], L.set_join
