@@ -154,3 +154,14 @@ def test_errors(engine):
     ]:
         with pytest.raises(error):
             engine.instant(query, 60 if "compare" in query else 600).collect()
+
+
+def test_variance_is_not_gathered(spark):
+    """A window's variance comes from partial results, not from its points in one row; large values keep theirs."""
+    points = [(t, 1e200) for t in range(1, 5)]
+    df = samples(spark, ("m", {"k": "same"}, points), ("m", {"k": "nan"}, [(1, 1.0), (2, float("nan"))]), ("m", {"k": "inf"}, [(1, float("inf"))]), ("m", {"k": "far"}, [(1, 1e150), (2, -1e150)]))
+    engine = Engine(df.repartition(3), units=1)
+    got = engine.instant("stddev_over_time(m[10s])", 9)
+    assert "collect_list" not in got._jdf.queryExecution().analyzed().toString()
+    by = {r.labels[0].value: r.value for r in got.collect()}
+    assert by["same"] == 0.0 and math.isnan(by["nan"]) and math.isnan(by["inf"]) and by["far"] == pytest.approx(1e150)

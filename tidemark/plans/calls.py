@@ -75,7 +75,6 @@ ORDERED: dict[str, Callable[[Column, Column, Column, int], Column]] = {
     "idelta": lambda p, lo, hi, u: R.idelta(p),
     "changes": lambda p, lo, hi, u: R.changes(p),
     "resets": lambda p, lo, hi, u: R.resets(p),
-    "stddev_over_time": lambda p, lo, hi, u: F.sqrt(R.variance(R.values(p))),
     "stdvar_over_time": lambda p, lo, hi, u: R.variance(R.values(p)),
     "mad_over_time": lambda p, lo, hi, u: R.mad(p),
     "deriv": lambda p, lo, hi, u: R.regression(p, u)["slope"],
@@ -86,6 +85,12 @@ def _real() -> Column:
     return F.when(~F.isnan("value"), F.col("value"))
 
 
+def _variance() -> Column:
+    """Population variance. Large values are scaled, for merging squares the difference of two means."""
+    x, by = F.col("value"), I.lit(2.0**520)
+    return F.when(F.max(F.abs(x)) < 1e140, F.var_pop(x)).otherwise(F.var_pop(x / by) * by * by)
+
+
 #: Range functions that combine on the map side.
 COMBINING: dict[str, Callable[[], Column]] = {
     "avg_over_time": lambda: F.avg("value"),
@@ -95,10 +100,11 @@ COMBINING: dict[str, Callable[[], Column]] = {
     "count_over_time": lambda: F.count(F.lit(1)).cast("double"),
     "present_over_time": lambda: F.max(I.lit(1)),
     "last_over_time": lambda: F.max_by("value", F.struct("p_ts", "seq")),
+    "stddev_over_time": lambda: F.sqrt(_variance()),
 }
 
 
-#: The same in two stages: columns of a bucket, and a window's value from those of its buckets.
+#: Most of them in two stages: columns of a bucket, and a window's value from those of its buckets.
 STAGED: dict[str, tuple[Callable[[], dict[str, Column]], Callable[[], Column]]] = {
     "avg_over_time": (lambda: {"s": F.sum("value"), "n": F.count(F.lit(1))}, lambda: F.sum("s") / F.sum("n")),
     "sum_over_time": (lambda: {"s": F.sum("value")}, lambda: F.sum("s")),
@@ -255,7 +261,7 @@ def evaluate(run, e: ast.Call, grid: Grid):
         return _stamped(c, now)
     if n in COMBINING:
         c.count(1)
-        if (b := run.bucketed(e.args[0], grid)) is not None:
+        if n in STAGED and (b := run.bucketed(e.args[0], grid)) is not None:
             return c.staged(b)
         r = c.ranged(0)
         return c.out(run.no_hist(r.df, n).groupBy(*ID).agg(COMBINING[n]().alias("value")))
