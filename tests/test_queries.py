@@ -165,3 +165,5 @@ def test_variance_is_not_gathered(spark):
     assert "collect_list" not in got._jdf.queryExecution().analyzed().toString()
     by = {r.labels[0].value: r.value for r in got.collect()}
     assert by["same"] == 0.0 and math.isnan(by["nan"]) and math.isnan(by["inf"]) and by["far"] == pytest.approx(1e150)
+    # windows that overlap
+    assert [r.value for r in engine.range('stdvar_over_time(m{k="same"}[4s])', 4, 8, 2).orderBy("ts").collect()] == [0.0, 0.0]

@@ -101,20 +101,6 @@ def joined(parts: Column, pair) -> Column:
     return F.aggregate(F.slice(parts, F.lit(2), F.size(parts)), F.get(parts, F.lit(0)), step)
 
 
-def total(v: Column) -> Column:
-    return F.aggregate(v, lit(0), lambda a, x: a + x)
-
-
-def mean(v: Column) -> Column:
-    return total(v) / F.size(v)
-
-
-def variance(v: Column) -> Column:
-    """Population variance in two passes."""
-    m = mean(v)
-    return F.aggregate(F.transform(v, lambda x: (x - m) * (x - m)), lit(0), lambda a, x: a + x) / F.size(v)
-
-
 def quantile(v: Column, phi: Column, nan_first: bool = False) -> Column:
     """Linear interpolation at phi * (n - 1) of the sorted values."""
     nans = F.filter(v, F.isnan)

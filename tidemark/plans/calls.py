@@ -75,7 +75,6 @@ ORDERED: dict[str, Callable[[Column, Column, Column, int], Column]] = {
     "idelta": lambda p, lo, hi, u: R.idelta(p),
     "changes": lambda p, lo, hi, u: R.changes(p),
     "resets": lambda p, lo, hi, u: R.resets(p),
-    "stdvar_over_time": lambda p, lo, hi, u: R.variance(R.values(p)),
     "mad_over_time": lambda p, lo, hi, u: R.mad(p),
     "deriv": lambda p, lo, hi, u: R.regression(p, u)["slope"],
 }
@@ -101,6 +100,7 @@ COMBINING: dict[str, Callable[[], Column]] = {
     "present_over_time": lambda: F.max(I.lit(1)),
     "last_over_time": lambda: F.max_by("value", F.struct("p_ts", "seq")),
     "stddev_over_time": lambda: F.sqrt(_variance()),
+    "stdvar_over_time": _variance,
 }
 
 
