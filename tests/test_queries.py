@@ -1,4 +1,5 @@
 import math
+import time
 
 import pytest
 
@@ -167,3 +168,13 @@ def test_variance_is_not_gathered(spark):
     assert by["same"] == 0.0 and math.isnan(by["nan"]) and math.isnan(by["inf"]) and by["far"] == pytest.approx(1e150)
     # windows that overlap
     assert [r.value for r in engine.range('stdvar_over_time(m{k="same"}[4s])', 4, 8, 2).orderBy("ts").collect()] == [0.0, 0.0]
+
+
+def test_mad_of_a_long_window(spark):
+    """The median that deviations are taken from is computed once a window, not once a point."""
+    df = samples(spark, ("m", {}, [(t, (t * 7919) % 4001) for t in range(1, 4002)])).cache()
+    df.count()
+    began = time.monotonic()
+    # values 0..4000 in some order: median 2000, deviations 0, 1, 1, 2, 2, ...
+    assert [r.value for r in Engine(df, units=1).instant("mad_over_time(m[9000s])", 5000).collect()] == [1000.0]
+    assert time.monotonic() - began < 20

@@ -12,10 +12,6 @@ from pyspark.sql import functions as F
 from ..functions.ieee import INF, NAN, fdiv, fgt, flt, fne, lit
 
 
-def values(pts: Column) -> Column:
-    return F.transform(pts, lambda p: p["value"])
-
-
 def steps(pts: Column, zero: Column, f) -> Column:
     """Folds ``f(acc, previous value, value)`` over adjacent points."""
     start = F.struct(zero.alias("acc"), F.get(pts, F.lit(0))["value"].alias("prev"))
@@ -101,23 +97,30 @@ def joined(parts: Column, pair) -> Column:
     return F.aggregate(F.slice(parts, F.lit(2), F.size(parts)), F.get(parts, F.lit(0)), step)
 
 
+def held(x: Column, f) -> Column:
+    """``f(x)`` with ``x`` computed once; else it is again at each mention, and in a lambda for each element."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
 def quantile(v: Column, phi: Column, nan_first: bool = False) -> Column:
     """Linear interpolation at phi * (n - 1) of the sorted values."""
-    nans = F.filter(v, F.isnan)
-    rest = F.array_sort(F.filter(v, lambda x: ~F.isnan(x)))
-    s = F.concat(nans, rest) if nan_first else F.concat(rest, nans)
-    at = phi * (F.size(v) - 1)
+    rows = F.sort_array(v)
+    if nan_first:
+        rows = held(rows, lambda s: F.concat(F.filter(s, F.isnan), F.filter(s, lambda x: ~F.isnan(x))))
+    return held(rows, lambda s: _at(s, phi))
+
+
+def _at(s: Column, phi: Column) -> Column:
+    at = phi * (F.size(s) - 1)
     low = F.floor(F.when((phi >= 0) & (phi <= 1), at)).cast("int")
-    a, b = F.get(s, low), F.get(s, F.least(low + 1, F.size(v) - 1))
+    a, b = F.get(s, low), F.get(s, F.least(low + 1, F.size(s) - 1))
     w = at - low
     inside = F.when(w == 0, a).otherwise(a + (b - a) * w)
-    return F.when(F.size(v) == 0, lit(NAN)).when(F.isnan(phi), lit(NAN)).when(phi < 0, lit(-INF)).when(phi > 1, lit(INF)).otherwise(inside)
+    return F.when(F.size(s) == 0, lit(NAN)).when(F.isnan(phi), lit(NAN)).when(phi < 0, lit(-INF)).when(phi > 1, lit(INF)).otherwise(inside)
 
 
-def mad(pts: Column) -> Column:
-    v = values(pts)
-    m = quantile(v, lit(0.5))
-    return quantile(F.transform(v, lambda x: F.abs(x - m)), lit(0.5))
+def mad(v: Column) -> Column:
+    return held(quantile(v, lit(0.5)), lambda m: quantile(F.transform(v, lambda x: F.abs(x - m)), lit(0.5)))
 
 
 def regression(pts: Column, units: int) -> Column:

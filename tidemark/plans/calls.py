@@ -75,7 +75,6 @@ ORDERED: dict[str, Callable[[Column, Column, Column, int], Column]] = {
     "idelta": lambda p, lo, hi, u: R.idelta(p),
     "changes": lambda p, lo, hi, u: R.changes(p),
     "resets": lambda p, lo, hi, u: R.resets(p),
-    "mad_over_time": lambda p, lo, hi, u: R.mad(p),
     "deriv": lambda p, lo, hi, u: R.regression(p, u)["slope"],
 }
 
@@ -195,6 +194,10 @@ class _Call:
         raw = F.array_sort(F.collect_list(F.struct(F.col("p_ts").alias("ts"), "seq", "value")))
         return df.groupBy(*ID).agg(raw.alias("raw")).select(*ID, F.transform("raw", lambda p: F.struct(p["ts"].alias("ts"), p["value"].alias("value"))).alias("pts"))
 
+    def values(self, r: Range) -> DataFrame:
+        """One row a series and step with its values in no order, as ``v``."""
+        return self.run.no_hist(r.df, self.name).groupBy(*ID).agg(F.collect_list("value").alias("v"))
+
     def staged(self, b: Buckets) -> Vector:
         """A combining function over overlapping windows: samples to buckets, buckets to steps."""
         parts, value = STAGED[self.name]
@@ -281,8 +284,13 @@ def _stamped(c: _Call, df: DataFrame) -> Vector:
 
 def _quantile_over_time(c: _Call):
     c.count(2)
-    df, phi = c.number(0, c.points(c.ranged(1)))
-    return c.out(df.withColumn("value", R.quantile(R.values(F.col("pts")), phi)))
+    df, phi = c.number(0, c.values(c.ranged(1)))
+    return c.out(df.withColumn("value", R.quantile(F.col("v"), phi)))
+
+
+def _mad_over_time(c: _Call):
+    c.count(1)
+    return c.out(c.values(c.ranged(0)).withColumn("value", R.mad(F.col("v"))))
 
 
 def _predict_linear(c: _Call):
@@ -500,6 +508,7 @@ def _histogram_none(c: _Call):
 
 OTHERS: dict[str, Callable[[_Call], object]] = {
     "quantile_over_time": _quantile_over_time,
+    "mad_over_time": _mad_over_time,
     "predict_linear": _predict_linear,
     "double_exponential_smoothing": _smoothing,
     "holt_winters": _smoothing,
