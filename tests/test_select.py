@@ -143,3 +143,17 @@ def test_merge_of_any_size(spark, points, monkeypatch):
     for limit in ("max_series", "max_points", "max_total"):
         with pytest.raises(InvalidRequest):
             C.merge_replicas([points, points], **{limit: 1})
+
+
+def test_custom_streams_its_values(spark):
+    """The values of a group come in time order over many batches, and are no list of decoded ones."""
+    n = 25_000
+    df = spark.range(n).select(F.lit("m").alias("metric"), F.array().cast(LABELS).alias("labels"), ((F.col("id") * 7919) % n).alias("ts"), F.col("id").alias("seq"))
+    df = df.withColumn("value", F.col("ts").cast("string").cast("binary")).repartition(5)
+
+    def combine(xs):
+        assert not isinstance(xs, list) and len(xs) == n and xs[-1] == n - 1 and xs[3:5] == [3, 4]
+        return all(a == i for i, a in enumerate(xs))
+
+    got = A.custom(df, lambda b: int(b.decode()), combine, lambda x: str(x).encode()).collect()
+    assert [(r.ts, bytes(r.value)) for r in got] == [(n - 1, b"True")]

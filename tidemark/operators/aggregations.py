@@ -7,13 +7,16 @@ no single task's load; Median alone gathers a group's values.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import tempfile
+from array import array
+from collections.abc import Callable, Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import InvalidRequest, UnsupportedAggregation
+from ..session import ship
 
 I64_MIN, I64_MAX = -(1 << 63), (1 << 63) - 1
 U64_MAX = (1 << 64) - 1
@@ -110,22 +113,61 @@ def whole(df: DataFrame, name: str, *, by: tuple[str, ...] = ("metric", "labels"
     return df.groupBy(*by).agg(at.alias("ts"), aggregate(name, df).alias("value")).where(F.col("value").isNotNull()).select(*by, "ts", "value")
 
 
+class Spooled(Sequence):
+    """A sequence of decoded values kept as bytes in a temporary file; only what is asked for is decoded."""
+
+    def __init__(self, decode):
+        self.decode, self.ends = decode, array("Q", [0])
+        self.file = tempfile.SpooledTemporaryFile(max_size=8 << 20)
+
+    def add(self, values) -> None:
+        for v in values:
+            self.ends.append(self.ends[-1] + self.file.write(bytes(v)))
+
+    def __len__(self) -> int:
+        return len(self.ends) - 1
+
+    def __getitem__(self, i):
+        if isinstance(i, slice):
+            return [self[k] for k in range(*i.indices(len(self)))]
+        i = range(len(self))[i]
+        self.file.seek(self.ends[i])
+        return self.decode(self.file.read(self.ends[i + 1] - self.ends[i]))
+
+    def __iter__(self):
+        for at in range(0, len(self), 4096):
+            ends = self.ends[at : at + 4097]
+            self.file.seek(ends[0])
+            block = self.file.read(ends[-1] - ends[0])
+            for a, z in zip(ends, ends[1:]):
+                yield self.decode(block[a - ends[0] : z - ends[0]])
+
+
 def custom(df: DataFrame, decode, combine, encode, *, interval: int | None = None, origin: int = 0, by: tuple[str, ...] = ("metric", "labels")) -> DataFrame:
-    """A user's aggregate over BINARY values: decode each, combine the list in time order, encode.
+    """A user's aggregate over BINARY values: combine a sequence of decoded values in time order, encode.
 
-    Groups are handed over in Arrow batches; one group is in memory at a time.
+    A group is streamed in Arrow batches to a file of its task, and decoded as ``combine`` reads it.
     """
     if df.schema["value"].dataType.simpleString() != "binary":
         raise UnsupportedAggregation("a custom aggregation takes binary values")
-    at = F.max("ts") if interval is None else F.first("_b")
+    ship(df.sparkSession)
     if interval is not None:
         df = df.withColumn("_b", bucket_start(F.col("ts"), interval, origin))
     keys = [*by, *(["_b"] if interval is not None else [])]
-
-    gathered = df.groupBy(*keys).agg(at.alias("ts"), F.array_sort(F.collect_list(F.struct("ts", "seq", "value"))).alias("raw"))
-
-    @F.pandas_udf("binary")
-    def each(raw: pd.Series) -> pd.Series:
-        return raw.map(lambda rows: encode(combine([decode(bytes(r["value"])) for r in rows])))
-
-    return gathered.select(*by, "ts", each("raw").alias("value"))
+    rows = df.select(*keys, "ts", "seq", "value")
+    at = "_b" if interval is not None else "ts"
+    schema = rows.select(*by, F.col(at).alias("ts"), "value").schema
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        values = Spooled(decode)
+        last = None
+        for batch in batches:
+            if batch.num_rows:
+                values.add(batch.column("value").to_pylist())
+                last = batch.slice(batch.num_rows - 1)
+        out = pa.array([encode(combine(values))], last.column("value").type)
+        yield pa.RecordBatch.from_arrays([*[last.column(k) for k in by], last.column(at), out], names=[*by, "ts", "value"])
+
+    # sorted by time within keys; grouping needs no order of its own then
+    rows = rows.repartition(*keys).sortWithinPartitions(*keys, "ts", "seq")
+    return rows.groupBy(*keys).applyInArrow(each, schema)
