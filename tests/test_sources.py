@@ -107,3 +107,26 @@ def test_otlp(spark):
         with pytest.raises(W.BadPayload):
             W.otlp_request(body(bad))
     assert W.read_otlp(spark.createDataFrame([(body(gauge),)], "content binary")).count() == 1
+
+
+def test_bodies_are_read_one_by_one(spark, monkeypatch):
+    """Samples of one body at a time are held, so a frame is no larger than a body."""
+    made = []
+
+    class Pandas:
+        DataFrame = staticmethod(lambda rows, columns: made.append(len(rows)))
+
+    class Payloads:
+        sparkSession = spark
+        select = lambda self, *c: self
+
+        def mapInPandas(self, run, schema):
+            list(run(iter([{"b": [b"1", b"2", b"3"]}])))
+            return spark.range(0).selectExpr("double(id) value")
+
+    monkeypatch.setattr(W, "pd", Pandas)
+    monkeypatch.setattr(W, "write_request", lambda b, units: {"samples": [0] * int(b)})
+    monkeypatch.setattr(W, "otlp_request", lambda b, units: [0] * int(b))
+    W.read_remote_write(Payloads(), compressed=False)
+    W.read_otlp(Payloads())
+    assert made == [1, 2, 3, 1, 2, 3]
